@@ -31,16 +31,24 @@ def cohort_window_join(
     over tasks, because ``sum_by_kind`` shuffles by the whole cohort row afterwards
     and so does not rely on this join's partitioning. ``sum_by_kind`` puts cohort
     rows without facts back.
+
+    A missing key matches nothing: such facts are left out, after which the null-safe
+    comparison means plain equality. Plain equality would also filter the cohort's scan
+    for this join only, and its shuffle could then not serve ``sum_by_kind`` too.
     """
     bounded = cohort.withColumn("window_end", months_later(start, months)).withColumnRenamed(
         key, "cohort_key"
     )
     in_window = (
-        (F.col(key) == F.col("cohort_key"))
+        F.col(key).eqNullSafe(F.col("cohort_key"))
         & (F.col(ts) >= F.col(start))
         & (F.col(ts) < F.col("window_end"))
     )
-    return facts.join(bounded, in_window).drop("cohort_key", "window_end")
+    return (
+        facts.where(F.col(key).isNotNull())
+        .join(bounded, in_window)
+        .drop("cohort_key", "window_end")
+    )
 
 
 def sum_by_kind(

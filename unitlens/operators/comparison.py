@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from unitlens.functions import ratio
 
 
-def share_of_total(df: DataFrame, value: str, digits: int | None = None) -> Column:
+def share_of_total(value: Column, digits: int | None = None) -> Column:
     """Each row's part of the column's total.
 
-    The total is a scalar subquery over ``df``, not a window without partitions, so
-    rows are not gathered in one task.
+    For aggregated rows only (here one per channel): the window has no partitions and
+    gathers its input in one task. A subquery for the total would instead run the
+    aggregation below it twice, because the two runs read different columns.
     """
-    return ratio(F.col(value), df.agg(F.sum(value)).scalar(), digits=digits)
+    return ratio(value, F.sum(value).over(Window.partitionBy()), digits=digits)
 
 
 def previous_value(partition: str, order: str, value: str) -> Column:

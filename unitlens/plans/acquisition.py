@@ -17,7 +17,8 @@ from unitlens.plans.revenue import LtvTerms, channel_components
 # Fixed value: measures are stored this many times too large.
 STORED_SCALE = 100
 
-AD_DAY = ("ad_id", "date")
+# The date comes first: it has more values, so sorting rarely looks past it.
+AD_DAY = ("date", "ad_id")
 HIERARCHY = ["source", "campaign_id", "adset_id", "ad_id"]
 
 
@@ -90,7 +91,7 @@ def cac_report(
         known = F.create_map(*(F.lit(x) for x in chain.from_iterable(ltv.items())))
         priced = totals.withColumn("ltv", known[F.col("source")].cast("double"))
     rates = funnel_rates()
-    shown = F.round("ltv", 2)
+    shown = rounded(F.col("ltv"), 2)
     used = shown if round_ltv_first else F.col("ltv")
     return priced.select(
         F.col("source").alias("channel"),
@@ -122,10 +123,10 @@ def monthly_report(monthly: DataFrame) -> DataFrame:
         "month",
         as_money(F.col("total_spend")).alias("total_spend"),
         as_money(F.col("total_registrations"), 0).alias("registrations"),
-        F.round(cac, 2).alias("cac"),
-        F.round(previous, 2).alias("previous_month_cac"),
+        rounded(cac, 2).alias("cac"),
+        rounded(previous, 2).alias("previous_month_cac"),
         period_change(previous, cac, 2).alias("cac_mom_change_pct"),
-        *(F.round(name, 2).alias(name) for name in rates if name != "cac"),
+        *(rounded(F.col(name), 2).alias(name) for name in rates if name != "cac"),
     )
 
 

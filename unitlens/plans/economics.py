@@ -162,7 +162,7 @@ def unit_economics_report(components: DataFrame, totals: DataFrame) -> DataFrame
         "channel",
         "registered_users",
         F.col("total_revenue"),
-        share_of_total(components, "total_revenue", 4).alias("revenue_share"),
+        share_of_total(F.col("total_revenue"), 4).alias("revenue_share"),
         LtvTerms().per_registered.alias("ltv"),
     )
     spent = totals.select(F.col("source").alias("channel"), "total_spend", cac.alias("cac"))
@@ -173,8 +173,8 @@ def unit_economics_report(components: DataFrame, totals: DataFrame) -> DataFrame
         as_money(F.col("total_revenue")).alias("total_revenue_6m"),
         "revenue_share",
         as_money(F.col("total_spend")).alias("total_spend"),
-        F.round("cac", 2).alias("cac"),
-        F.round("ltv", 2).alias("ltv_6m_per_registered_user"),
+        rounded(F.col("cac"), 2).alias("cac"),
+        rounded(F.col("ltv"), 2).alias("ltv_6m_per_registered_user"),
         ltv_cac.alias("ltv_cac"),
         (ltv_cac >= BREAK_EVEN).alias("above_break_even"),
     )

@@ -97,7 +97,7 @@ def ltv_report(components: DataFrame, missing_as_zero: bool = False) -> DataFram
         "registered_users",
         "buyers",
         as_money(F.col("total_revenue")).alias("total_revenue_6m"),
-        share_of_total(components, "total_revenue", 4).alias("revenue_share"),
+        share_of_total(F.col("total_revenue"), 4).alias("revenue_share"),
         rounded(t.conversion, 4).alias("cr_registration_to_purchase"),
         rounded(t.aov["purchase"], 2).alias("aov_first_purchase"),
         rounded(t.per_payer, 2).alias("ltv_6m_per_payer"),
@@ -135,7 +135,7 @@ def revenue_report(components: DataFrame) -> DataFrame:
         *(as_money(F.col(f"{k}_revenue")).alias(f"{k}_revenue_6m") for k in PAYMENT_KINDS),
         ratio(revenue, F.col("paying_users"), digits=2).alias("arppu_6m_per_payer"),
         ratio(revenue, F.col("registered_users"), digits=2).alias("arpu_6m_per_registered_user"),
-        share_of_total(components, "total_revenue", 4).alias("revenue_share"),
+        share_of_total(F.col("total_revenue"), 4).alias("revenue_share"),
     )
 
 

@@ -12,6 +12,8 @@ LOCAL_CONF = {
     "spark.driver.bindAddress": "127.0.0.1",
     "spark.driver.host": "127.0.0.1",
     "spark.sql.adaptive.enabled": "true",
+    # Do not record the Python call site of every column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -14,6 +14,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from unitlens.sources.schemas import MARKETING_ADS_RAW, ORDERS, PRODUCT_EVENTS
+
 # Milestone, hours after install, divisor of c_custkey, whether a
 # user has the milestone when the remainder is zero.
 MILESTONE_RULES = [
@@ -27,6 +29,18 @@ MILESTONE_RULES = [
 
 MINUTES_PER_DAY = 1440
 
+# The columns used, declared so that no file is opened to find the schema.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_mktsegment string",
+    "orders": (
+        "o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+        " l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz"
+    ),
+}
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -36,7 +50,7 @@ class Tables:
     folder: str
 
     def _scan(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
     def product_events(self) -> DataFrame:
@@ -62,6 +76,7 @@ class Tables:
             .select(key.alias("user_id"), channel.alias("channel"), F.inline(F.array(*milestones)))
             .where("reached")
             .select("user_id", "event_type", "timestamp", "channel")
+            .to(PRODUCT_EVENTS)
         )
 
     @cached_property
@@ -72,11 +87,15 @@ class Tables:
             .when(priority == "5-LOW", "upsell")
             .otherwise("rebill")
         )
-        return self._scan("orders").select(
-            F.col("o_custkey").alias("user_id"),
-            event.alias("event"),
-            F.col("o_orderdate").alias("timestamp"),
-            F.col("o_totalprice").cast("decimal(12,2)").alias("amount"),
+        return (
+            self._scan("orders")
+            .select(
+                F.col("o_custkey").alias("user_id"),
+                event.alias("event"),
+                F.col("o_orderdate").alias("timestamp"),
+                F.col("o_totalprice").cast("decimal(12,2)").alias("amount"),
+            )
+            .to(ORDERS)
         )
 
     @cached_property
@@ -130,4 +149,5 @@ class Tables:
                 (elapsed * 6 + line % 3).alias("registrations"),
                 loaded_at.alias("timestamp"),
             )
+            .to(MARKETING_ADS_RAW)
         )
