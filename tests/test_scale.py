@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from unitlens.catalog import QUERIES
+from unitlens.operators.skew import Skew, give_part, hot_keys
 from unitlens.plans import acquisition, data_quality, revenue
 from unitlens.sources import Tables
 
@@ -42,7 +43,7 @@ def test_snapshots_are_limited_before_and_after_the_shuffle(spark):
 def test_cohort_shuffle_is_used_twice(spark):
     plan = executed_plan(QUERIES["ltv_by_channel"](spark, FOLDER))
     assert "ReusedExchange" in plan
-    assert plan.count("FileScan") == 2
+    assert plan.count("FileScan parquet [c_custkey") == 1
 
 
 def hot_user_tables(spark, n=60_000):
@@ -71,8 +72,8 @@ def hot_user_tables(spark, n=60_000):
     return users.unionByName(second), orders
 
 
-def test_hot_user_is_split_and_nothing_is_lost(spark, conf):
-    events, orders = hot_user_tables(spark)
+def plain_left_join(events, orders):
+    """Users and revenue per channel, written as one left join."""
     joined = revenue.registrations(events).alias("r").join(
         orders.alias("o"),
         F.expr(
@@ -81,7 +82,7 @@ def test_hot_user_is_split_and_nothing_is_lost(spark, conf):
         ),
         "left",
     )
-    expected = {
+    return {
         r.channel: (r.users, r.revenue)
         for r in joined.groupBy("r.channel")
         .agg(
@@ -90,6 +91,14 @@ def test_hot_user_is_split_and_nothing_is_lost(spark, conf):
         )
         .collect()
     }
+
+
+def found_in(components):
+    return {r.channel: (r.registered_users, r.total_revenue) for r in components.collect()}
+
+
+def test_adaptive_execution_may_split_the_join(spark, conf):
+    events, orders = hot_user_tables(spark)
     with conf(
         spark__sql__autoBroadcastJoinThreshold="-1",
         spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
@@ -99,9 +108,38 @@ def test_hot_user_is_split_and_nothing_is_lost(spark, conf):
     ):
         components = revenue.channel_components(events, orders)
         plan = executed_plan(components)
-        found = {r.channel: (r.registered_users, r.total_revenue) for r in components.collect()}
+        found = found_in(components)
     assert "SortMergeJoin(skew=true)" in plan
-    assert found == expected
+    assert found == plain_left_join(events, orders)
+
+
+def test_hot_keys_are_few_and_get_parts(spark):
+    _, orders = hot_user_tables(spark)
+    hot = hot_keys(orders, "user_id", Skew(rows_per_task=500, fraction=1.0))
+    assert rows(hot) == [(0, 41)]
+    sampled = rows(hot_keys(orders, "user_id", Skew(rows_per_task=2000, fraction=0.05)))
+    assert [k for k, _ in sampled] == [0]
+
+
+def test_hot_user_is_spread_and_nothing_is_lost(spark, conf):
+    events, orders = hot_user_tables(spark)
+    copies = orders.limit(1).crossJoin(spark.range(0, 5000, numPartitions=8)).drop("id")
+    for facts in (orders, orders.unionByName(copies)):
+        expected = plain_left_join(events, facts)
+        with conf(spark__sql__autoBroadcastJoinThreshold="-1"):
+            for skew in (Skew(500, 1.0), Skew(2000, 0.05), Skew()):
+                components = revenue.channel_components(events, facts, skew=skew)
+                assert found_in(components) == expected
+
+
+def test_parts_are_even_and_repeatable(spark):
+    _, orders = hot_user_tables(spark)
+    hot = hot_keys(orders, "user_id", Skew(rows_per_task=500, fraction=1.0))
+    split = give_part(orders, hot, "user_id")
+    sizes = rows(split.where("user_id = 0").groupBy("part").count().select("count"))
+    assert len(sizes) == 41 and max(sizes)[0] < 1000
+    assert rows(split.where("user_id <> 0").agg(F.max("part"))) == [(0,)]
+    assert split.exceptAll(give_part(orders, hot, "user_id")).count() == 0
 
 
 def test_hot_ad_day_is_reduced_before_the_shuffle(spark):

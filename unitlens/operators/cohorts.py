@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from unitlens.operators.skew import Skew, copy_per_part, give_part, hot_keys
+
 
 def months_later(start: str | Column, months: int) -> Column:
     """Calendar months: keeps the time of day and clamps to the end of a short month."""
@@ -22,32 +24,41 @@ def first_event_cohort(
 
 
 def cohort_window_join(
-    cohort: DataFrame, facts: DataFrame, key: str, start: str, ts: str, months: int
+    cohort: DataFrame,
+    facts: DataFrame,
+    key: str,
+    start: str,
+    ts: str,
+    months: int,
+    skew: Skew = Skew(),
 ) -> DataFrame:
     """Facts of each cohort row in ``[start, start + months)``, with the cohort columns.
 
-    An inner join with the facts on the streamed side. An outer join that keeps the
-    cohort could not split a hot key's facts; here adaptive execution may split them
-    over tasks, because ``sum_by_kind`` shuffles by the whole cohort row afterwards
-    and so does not rely on this join's partitioning. ``sum_by_kind`` puts cohort
-    rows without facts back.
+    An inner join with the facts on the streamed side; the facts of a hot key are
+    spread over several tasks. ``sum_by_kind`` puts cohort rows without facts back and
+    shuffles by the whole cohort row, so nothing relies on this join's partitioning and
+    adaptive execution may split it further.
 
     A missing key matches nothing: such facts are left out, after which the null-safe
     comparison means plain equality. Plain equality would also filter the cohort's scan
     for this join only, and its shuffle could then not serve ``sum_by_kind`` too.
     """
-    bounded = cohort.withColumn("window_end", months_later(start, months)).withColumnRenamed(
-        key, "cohort_key"
+    hot = hot_keys(facts, key, skew)
+    bounded = (
+        copy_per_part(cohort, hot, key)
+        .withColumn("window_end", months_later(start, months))
+        .withColumnsRenamed({key: "cohort_key", "part": "cohort_part"})
     )
     in_window = (
         F.col(key).eqNullSafe(F.col("cohort_key"))
+        & (F.col("part") == F.col("cohort_part"))
         & (F.col(ts) >= F.col(start))
         & (F.col(ts) < F.col("window_end"))
     )
     return (
-        facts.where(F.col(key).isNotNull())
+        give_part(facts.where(F.col(key).isNotNull()), hot, key)
         .join(bounded, in_window)
-        .drop("cohort_key", "window_end")
+        .drop("cohort_key", "cohort_part", "part", "window_end")
     )
 
 

@@ -13,6 +13,7 @@ from unitlens.operators.cohorts import (
     sum_by_kind,
 )
 from unitlens.operators.comparison import share_of_total
+from unitlens.operators.skew import Skew
 
 PAYMENT_KINDS = ["purchase", "rebill", "upsell"]
 WINDOW_MONTHS = 6
@@ -31,10 +32,12 @@ def registrations(product_events: DataFrame) -> DataFrame:
 
 
 def user_monetization(
-    cohort: DataFrame, orders: DataFrame, months: int = WINDOW_MONTHS
+    cohort: DataFrame, orders: DataFrame, months: int = WINDOW_MONTHS, skew: Skew = Skew()
 ) -> DataFrame:
     """Payments of every registered user in the window; users without any have zeros."""
-    paid = cohort_window_join(cohort, orders, "user_id", "registration_ts", "timestamp", months)
+    paid = cohort_window_join(
+        cohort, orders, "user_id", "registration_ts", "timestamp", months, skew
+    )
     return sum_by_kind(cohort, paid, "event", "amount", PAYMENT_KINDS)
 
 
@@ -56,10 +59,13 @@ def sum_users(per_user: DataFrame, *by: str) -> DataFrame:
 
 
 def channel_components(
-    product_events: DataFrame, orders: DataFrame, months: int = WINDOW_MONTHS
+    product_events: DataFrame,
+    orders: DataFrame,
+    months: int = WINDOW_MONTHS,
+    skew: Skew = Skew(),
 ) -> DataFrame:
     cohort = registrations(product_events)
-    return sum_users(user_monetization(cohort, orders, months), "channel")
+    return sum_users(user_monetization(cohort, orders, months, skew), "channel")
 
 
 class LtvTerms:
