@@ -46,6 +46,11 @@ def test_cohort_shuffle_is_used_twice(spark):
     assert plan.count("FileScan parquet [c_custkey") == 1
 
 
+def test_amounts_are_counted_once(spark):
+    plan = executed_plan(QUERIES["amount_distribution"](spark, FOLDER))
+    assert plan.count("FileScan") == 1
+
+
 def hot_user_tables(spark, n=60_000):
     """A third of the payments belong to user 0, who registered in two channels."""
     ids = spark.range(0, n, numPartitions=8)

@@ -47,12 +47,18 @@ def discrete_quantiles(freq: DataFrame, value: str, probs: dict[str, float]) ->
         .select("band", "n", F.sum("n").over(by_band).alias("upto"), total.alias("total"))
         .select("band", (F.col("upto") - F.col("n")).alias("before"), "upto", F.inline(targets))
         .where("rank > before and rank <= upto")
-        .select("band", "name", (F.col("rank") - F.col("before")).alias("rank"))
+        .select(
+            F.col("band").alias("hit_band"),
+            "name",
+            (F.col("rank") - F.col("before")).alias("rank"),
+        )
     )
-    # `hits` has one row per requested quantile, which is what bounds the broadcast.
+    # `hits` has one row per requested quantile, which is what bounds the broadcast. Bands
+    # are never NULL; the null-safe comparison keeps a filter on them out of the scan, so
+    # that the frequencies are computed once for all their uses.
     in_band = Window.partitionBy("name").orderBy(value)
     found = (
-        banded.join(F.broadcast(hits), "band")
+        banded.join(F.broadcast(hits), F.col("band").eqNullSafe(F.col("hit_band")))
         .select("name", value, "rank", "n", F.sum("n").over(in_band).alias("upto"))
         .where("upto >= rank and upto - n < rank")
     )
