@@ -106,3 +106,20 @@ def test_empty_tables(spark):
     ads, orders = ads_df(spark, []), orders_df(spark, [])
     assert rows(dq.dq_ads_funnel(ads)) == [(0, 0, 0, 0)]
     assert rows(dq.dq_amount_validity(orders)) == [(0, 0, 0, 0, 0, None, None, None)]
+
+
+def test_verdicts_name_what_failed(spark):
+    t = "2024-01-01 00:00:00"
+    found = dq.dq_verdicts(
+        events_df(spark, [(1, "install", t, "meta"), (1, "like", t, "meta")]),
+        orders_df(spark, [(2, "purchase", t, 0), (2, "purchase", t, 0)]),
+        ads_df(spark, M2_ADS),
+    )
+    failed = {(r.subject, r.check): r.observed for r in found.collect() if not r.passed}
+    assert failed == {
+        ("product_events", "users_deeper_events_without_registration"): 1,
+        ("orders", "zero_amount"): 2,
+        ("orders", "duplicate_rows"): 1,
+        ("orders", "paying_users_without_product_events"): 1,
+        ("marketing_ads_raw", "invalid_timestamp_rows"): 1,
+    }

@@ -38,6 +38,7 @@ PLANS: list[Callable[..., DataFrame]] = [
     data_quality.dq_ads_metric_validity,
     data_quality.dq_ads_funnel,
     data_quality.dq_snapshot_structure,
+    data_quality.dq_verdicts,
     revenue.ltv_by_channel,
     revenue.revenue_scale_by_channel,
     revenue.matured_cohort_ltv,

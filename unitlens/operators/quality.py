@@ -128,3 +128,20 @@ def group_size_histogram(
         .groupBy(size)
         .agg(F.count("*").alias(groups))
     )
+
+
+def verdicts(result: DataFrame, subject: Column, expected: Mapping[str, int]) -> DataFrame:
+    """One row per check of a result's row: what was observed, expected, and whether it
+    passed. A check that does not apply to the subject is NULL there and gives no row."""
+    checks = [
+        F.struct(
+            F.lit(name).alias("check"),
+            F.col(name).cast("bigint").alias("observed"),
+            F.lit(wanted).cast("bigint").alias("expected"),
+            (F.col(name) == wanted).alias("passed"),
+        )
+        for name, wanted in expected.items()
+    ]
+    return result.select(subject.alias("subject"), F.inline(F.array(*checks))).where(
+        F.col("observed").isNotNull()
+    )

@@ -233,6 +233,83 @@ SELECT COALESCE(users.channel, source) AS channel, marketed.n AS marketing_regis
 FROM users FULL JOIN marketed ON users.channel = source"""
 
 
+def _zero_checks(subject: str, relation: str, conditions: dict[str, str]) -> str:
+    """One row per condition with the number of rows that meet it."""
+    lists = ", ".join(f"'{name}'" for name in conditions)
+    counts = ", ".join(f"COUNT(*) FILTER (WHERE {c})" for c in conditions.values())
+    return f"""SELECT '{subject}' AS subject, unnest([{lists}]) AS "check",
+       unnest([{counts}]) AS observed FROM {relation}"""
+
+
+_ADS_NAMES = {
+    name: {"date": "day", "timestamp": "loaded"}.get(name, name)
+    for name in ("source", "campaign_id", "adset_id", "ad_id", "date", *MEASURES, "timestamp")
+}
+_ROW_TEXT = """SELECT concat_ws('|', source, campaign_id, adset_id, ad_id, day, spend, impressions,
+                 clicks, installs, registrations, loaded) AS row_text FROM ad"""
+_USER_FLAGS = """SELECT user_id, bool_or(event_type = 'install') AS inst,
+         bool_or(event_type = 'registration') AS reg,
+         bool_or(event_type NOT IN ('install', 'registration')) AS deep
+  FROM ev GROUP BY user_id"""
+_VERDICTS = "\nUNION ALL\n".join(
+    [
+        _zero_checks(
+            "product_events",
+            "ev",
+            {
+                "null_user_id": "user_id IS NULL",
+                "null_event_type": "event_type IS NULL",
+                "null_timestamp": "ts IS NULL",
+                "null_channel": "channel IS NULL",
+            },
+        ),
+        _zero_checks(
+            "orders",
+            "pay",
+            {
+                "null_user_id": "user_id IS NULL",
+                "null_event": "event IS NULL",
+                "null_timestamp": "ts IS NULL",
+                "null_amount": "amount IS NULL",
+                "zero_amount": "amount = 0",
+                "negative_amount": "amount < 0",
+                "very_high_amount": "amount > 999",
+            },
+        ),
+        _zero_checks(
+            "marketing_ads_raw",
+            "ad",
+            {
+                **{f"null_{name}": f"{c} IS NULL" for name, c in _ADS_NAMES.items()},
+                "invalid_timestamp_rows": "TRY_CAST(loaded AS TIMESTAMP) IS NULL",
+                **{f"negative_{m}": f"{m} < 0" for m in MEASURES},
+                "clicks_gt_impressions": "clicks > impressions",
+                "installs_gt_clicks": "installs > clicks",
+                "registrations_gt_installs": "registrations > installs",
+            },
+        ),
+        _zero_checks(
+            "product_events",
+            f"({_USER_FLAGS})",
+            {
+                "users_registration_without_install": "reg AND NOT inst",
+                "users_deeper_events_without_registration": "deep AND NOT reg",
+            },
+        ),
+        _zero_checks(
+            "orders",
+            "(SELECT DISTINCT user_id FROM pay)",
+            {"paying_users_without_product_events": "user_id NOT IN (SELECT user_id FROM ev)"},
+        ),
+        """SELECT 'product_events', 'duplicate_rows',
+       COUNT(*) - COUNT(DISTINCT (user_id, event_type, ts, channel)) FROM ev""",
+        """SELECT 'orders', 'duplicate_rows',
+       COUNT(*) - COUNT(DISTINCT (user_id, event, ts, amount)) FROM pay""",
+        f"""SELECT 'marketing_ads_raw', 'duplicate_rows',
+       COUNT(*) - COUNT(DISTINCT row_text) FROM ({_ROW_TEXT})""",
+    ]
+)
+
 _MILESTONES = ["install", "registration", "like", "match", "message_sent", "paywall_view"]
 _ECONOMICS = f""",
 economics AS (
@@ -357,12 +434,9 @@ FROM pay""",
        COUNT(*) FILTER (WHERE reg AND NOT inst) AS users_registration_without_install,
        COUNT(*) FILTER (WHERE deep) AS users_with_deeper_events,
        COUNT(*) FILTER (WHERE deep AND NOT reg) AS users_deeper_events_without_registration
-FROM (
-  SELECT user_id, bool_or(event_type = 'install') AS inst,
-         bool_or(event_type = 'registration') AS reg,
-         bool_or(event_type NOT IN ('install', 'registration')) AS deep
-  FROM ev GROUP BY user_id
-)""",
+FROM ("""
+    + _USER_FLAGS
+    + ")",
     "dq_paying_users": _with(PRODUCT, PAYMENTS)
     + """SELECT COUNT(*) AS paying_users_total,
        COUNT(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.user_id = p.user_id))
@@ -370,29 +444,16 @@ FROM (
 FROM (SELECT DISTINCT user_id FROM pay) p""",
     "dq_ads_nulls": _with(ADS)
     + _nulls(
-        {
-            f"null_{name}": {"date": "day", "timestamp": "loaded"}.get(name, name)
-            for name in (
-                "source",
-                "campaign_id",
-                "adset_id",
-                "ad_id",
-                "date",
-                *MEASURES,
-                "timestamp",
-            )
-        },
+        {f"null_{name}": c for name, c in _ADS_NAMES.items()},
         "marketing_ads_raw",
         "ad",
     ),
     "dq_ads_duplicates": _with(ADS)
     + """SELECT COUNT(*) AS rows_total, COUNT(DISTINCT row_text) AS unique_raw_keys,
        COUNT(*) - COUNT(DISTINCT row_text) AS duplicate_rows
-FROM (
-  SELECT concat_ws('|', source, campaign_id, adset_id, ad_id, day, spend, impressions, clicks,
-                   installs, registrations, loaded) AS row_text
-  FROM ad
-)""",
+FROM ("""
+    + _ROW_TEXT
+    + ")",
     "dq_ads_timestamp": _with(ADS)
     + """SELECT COUNT(*) AS rows_total, COUNT(*) FILTER (WHERE t IS NULL) AS invalid_timestamp_rows,
        MIN(t) AS earliest_timestamp, MAX(t) AS latest_timestamp
@@ -412,6 +473,9 @@ FROM ad""",
     "dq_snapshot_structure": _with(ADS)
     + """SELECT n AS snapshots_per_ad_day, COUNT(*) AS ad_day_groups
 FROM (SELECT COUNT(*) AS n FROM ad GROUP BY ad_id, day) GROUP BY n""",
+    "dq_verdicts": _with(PRODUCT, PAYMENTS, ADS)
+    + 'SELECT subject, "check", observed, CAST(0 AS BIGINT) AS expected,'
+    + f" observed = 0 AS passed FROM ({_VERDICTS})",
     "ltv_by_channel": _with(PRODUCT, PAYMENTS, USERS, CHANNELS)
     + f"""SELECT channel, registered AS registered_users, purchase_users AS buyers,
        {_money("revenue")} AS total_revenue_6m, {_SHARE} AS revenue_share,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitlens.functions import as_money, mean
@@ -17,6 +17,7 @@ from unitlens.operators.quality import (
     presence_flags,
     rule_counts,
     value_stability,
+    verdicts,
 )
 
 # Events that lie deeper in the product than registration.
@@ -75,16 +76,45 @@ def dq_duplicates(product_events: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
+def _null_rules(columns: list[str]) -> dict[str, Column]:
+    return {f"null_{c}": F.col(c).isNull() for c in columns}
+
+
+def _amount_rules(very_high: int = VERY_HIGH_AMOUNT) -> dict[str, Column]:
+    amount = F.col("amount")
+    return {
+        "null_amount": amount.isNull(),
+        "zero_amount": amount == 0,
+        "negative_amount": amount < 0,
+        "very_high_amount": amount > very_high,
+    }
+
+
+def _load_time() -> Column:
+    return F.col("timestamp").try_cast("timestamp_ntz")
+
+
+def _time_rules() -> dict[str, Column]:
+    return {"invalid_timestamp_rows": _load_time().isNull()}
+
+
+def _negative_rules() -> dict[str, Column]:
+    return {f"negative_{m}": F.col(m) < 0 for m in MEASURES}
+
+
+def _ads_funnel_rules() -> dict[str, Column]:
+    return {
+        "clicks_gt_impressions": F.col("clicks") > F.col("impressions"),
+        "installs_gt_clicks": F.col("installs") > F.col("clicks"),
+        "registrations_gt_installs": F.col("registrations") > F.col("installs"),
+    }
+
+
 def dq_amount_validity(orders: DataFrame, very_high: int = VERY_HIGH_AMOUNT) -> DataFrame:
     amount = F.col("amount")
     return rule_counts(
         orders,
-        {
-            "null_amount": amount.isNull(),
-            "zero_amount": amount == 0,
-            "negative_amount": amount < 0,
-            "very_high_amount": amount > very_high,
-        },
+        _amount_rules(very_high),
         as_money(F.min(amount)).alias("min_amount"),
         as_money(F.max(amount)).alias("max_amount"),
         mean(amount, 2).alias("avg_amount"),
@@ -147,19 +177,18 @@ def dq_ads_duplicates(ads: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def dq_ads_timestamp(ads: DataFrame) -> DataFrame:
-    loaded_at = F.col("timestamp").try_cast("timestamp_ntz")
     return rule_counts(
         ads,
-        {"invalid_timestamp_rows": loaded_at.isNull()},
-        F.min(loaded_at).alias("earliest_timestamp"),
-        F.max(loaded_at).alias("latest_timestamp"),
+        _time_rules(),
+        F.min(_load_time()).alias("earliest_timestamp"),
+        F.max(_load_time()).alias("latest_timestamp"),
     )
 
 
 def dq_ads_metric_validity(ads: DataFrame) -> DataFrame:
     return rule_counts(
         ads,
-        {f"negative_{m}": F.col(m) < 0 for m in MEASURES},
+        _negative_rules(),
         F.min("spend").cast("double").alias("min_spend"),
         F.max("spend").cast("double").alias("max_spend"),
         mean(F.col("spend"), 2).alias("avg_spend"),
@@ -167,17 +196,57 @@ def dq_ads_metric_validity(ads: DataFrame) -> DataFrame:
 
 
 def dq_ads_funnel(ads: DataFrame) -> DataFrame:
-    return rule_counts(
-        ads,
-        {
-            "clicks_gt_impressions": F.col("clicks") > F.col("impressions"),
-            "installs_gt_clicks": F.col("installs") > F.col("clicks"),
-            "registrations_gt_installs": F.col("registrations") > F.col("installs"),
-        },
-    )
+    return rule_counts(ads, _ads_funnel_rules())
 
 
 def dq_snapshot_structure(ads: DataFrame) -> DataFrame:
     return group_size_histogram(
         ads, ["ad_id", "date"], "snapshots_per_ad_day", "ad_day_groups"
     ).orderBy("snapshots_per_ad_day")
+
+
+def dq_verdicts(product_events: DataFrame, orders: DataFrame, ads: DataFrame) -> DataFrame:
+    """All checks whose count should be 0. Rules on single rows take one scan per table."""
+
+    def rules(df: DataFrame, name: str, rules: dict[str, Column]) -> DataFrame:
+        return zeros(rule_counts(df, rules), F.lit(name), *rules)
+
+    def zeros(result: DataFrame, subject: Column, *checks: str) -> DataFrame:
+        return verdicts(result, subject, dict.fromkeys(checks, 0))
+
+    raw = "marketing_ads_raw"
+    return stack_rows(
+        rules(
+            product_events,
+            "product_events",
+            _null_rules(["user_id", "event_type", "timestamp", "channel"]),
+        ),
+        rules(
+            orders,
+            "orders",
+            {**_null_rules(["user_id", "event", "timestamp"]), **_amount_rules()},
+        ),
+        rules(
+            ads,
+            raw,
+            {
+                **_null_rules(ADS_COLUMNS),
+                **_time_rules(),
+                **_negative_rules(),
+                **_ads_funnel_rules(),
+            },
+        ),
+        zeros(dq_duplicates(product_events, orders), F.col("table_name"), "duplicate_rows"),
+        zeros(dq_ads_duplicates(ads), F.lit(raw), "duplicate_rows"),
+        zeros(
+            dq_funnel(product_events),
+            F.lit("product_events"),
+            "users_registration_without_install",
+            "users_deeper_events_without_registration",
+        ),
+        zeros(
+            dq_paying_users(product_events, orders),
+            F.lit("orders"),
+            "paying_users_without_product_events",
+        ),
+    ).orderBy("subject", "check")
