@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from unitlens.catalog import QUERIES
 from unitlens.operators.skew import Skew, give_part, hot_keys
-from unitlens.plans import acquisition, data_quality, revenue
-from unitlens.sources import Tables
+from unitlens.plans import acquisition, data_quality, profiling, revenue
+from unitlens.sources import Tables, read_orders, read_product_events, write_mart
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -34,6 +36,20 @@ def test_scans_read_only_the_columns_used(spark):
     assert "ReadSchema: struct<l_partkey:bigint,l_shipdate:timestamp_ntz>" in plan
 
 
+def test_stored_tables_get_filters_and_columns_pushed(spark, tmp_path):
+    tables = Tables(spark, FOLDER)
+    for name in ("product_events", "orders"):
+        write_mart(getattr(tables, name), str(tmp_path / name))
+    events = read_product_events(spark, str(tmp_path / "product_events"))
+    orders = read_orders(spark, str(tmp_path / "orders"))
+    plan = revenue.ltv_by_channel(events, orders)._jdf.queryExecution().toString()
+    pushed = set(re.findall(r"PushedFilters: \[([^\]]*)\]", plan))
+    assert any("EqualTo(event_type,registration)" in filters for filters in pushed)
+    assert any("IsNotNull(user_id)" in f and "IsNotNull(timestamp)" in f for f in pushed), pushed
+    plan = profiling.date_coverage(events, orders)._jdf.queryExecution().toString()
+    assert plan.count("ReadSchema: struct<timestamp:timestamp_ntz>") == 2
+
+
 def test_snapshots_are_limited_before_and_after_the_shuffle(spark):
     ads = Tables(spark, FOLDER).ads
     plan = acquisition.latest_ads(ads)._jdf.queryExecution().executedPlan().toString()
@@ -128,7 +144,10 @@ def test_hot_keys_are_few_and_get_parts(spark):
 
 def test_hot_user_is_spread_and_nothing_is_lost(spark, conf):
     events, orders = hot_user_tables(spark)
-    copies = orders.limit(1).crossJoin(spark.range(0, 5000, numPartitions=8)).drop("id")
+    first = orders.first()
+    copies = spark.range(0, 5000, numPartitions=8).select(
+        *(F.lit(first[f.name]).cast(f.dataType).alias(f.name) for f in orders.schema)
+    )
     for facts in (orders, orders.unionByName(copies)):
         expected = plain_left_join(events, facts)
         with conf(spark__sql__autoBroadcastJoinThreshold="-1"):

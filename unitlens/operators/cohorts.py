@@ -39,8 +39,8 @@ def cohort_window_join(
     shuffles by the whole cohort row, so nothing relies on this join's partitioning and
     adaptive execution may split it further.
 
-    A missing key matches nothing: such facts are left out, after which the null-safe
-    comparison means plain equality. Plain equality would also filter the cohort's scan
+    A missing key or time matches nothing: such facts are left out, after which the
+    null-safe comparison means plain equality. Plain equality would also filter the cohort's scan
     for this join only, and its shuffle could then not serve ``sum_by_kind`` too.
     """
     hot = hot_keys(facts, key, skew)
@@ -55,8 +55,9 @@ def cohort_window_join(
         & (F.col(ts) >= F.col(start))
         & (F.col(ts) < F.col("window_end"))
     )
+    complete = facts.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
     return (
-        give_part(facts.where(F.col(key).isNotNull()), hot, key)
+        give_part(complete, hot, key)
         .join(bounded, in_window)
         .drop("cohort_key", "cohort_part", "part", "window_end")
     )
