@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -22,16 +22,27 @@ AD_DAY = ("date", "ad_id")
 HIERARCHY = ["source", "campaign_id", "adset_id", "ad_id"]
 
 
-def latest_ads(ads: DataFrame, keys: tuple[str, ...] = AD_DAY) -> DataFrame:
-    """Last snapshot per ad-day with measures as stored. Of snapshots loaded at the same
-    time the one with the largest running totals is kept, then the smallest ids."""
-    with_time = ads.withColumn(
-        "snapshot_ts", F.col("timestamp").try_cast("timestamp_ntz")
-    ).drop("timestamp")
-    ties = [F.desc(m) for m in MEASURES] + [F.asc(c) for c in HIERARCHY]
+def latest_ads(
+    ads: DataFrame, keys: Sequence[str] = AD_DAY, describe: Sequence[str] = tuple(HIERARCHY)
+) -> DataFrame:
+    """Last snapshot per ad-day with measures as stored and the columns that describe it.
+
+    Of snapshots loaded at the same time the one with the largest running totals is kept,
+    then the one whose description comes first. Rows are sorted to find it, so queries ask
+    only for the description they need.
+    """
+    columns = dict.fromkeys([*describe, *keys, *MEASURES])
+    with_time = ads.select(
+        *columns, F.col("timestamp").try_cast("timestamp_ntz").alias("snapshot_ts")
+    )
+    ties = [F.desc(m) for m in MEASURES] + [F.asc(c) for c in describe]
     return latest_snapshot(with_time, keys, F.col("snapshot_ts"), ties)
 
 
+def latest_by_source(ads: DataFrame) -> DataFrame:
+    return latest_ads(ads, describe=["source"])
+
+
 def sum_measures(ads: DataFrame, by: list[str | Column], prefix: str = "total_") -> DataFrame:
     """Sum stored whole numbers and cents exactly, then bring the sums to scale once."""
     names = [f"{prefix}{m}" for m in MEASURES]
@@ -50,13 +61,13 @@ def deduplicated_ads(ads: DataFrame) -> DataFrame:
 
 
 def ads_daily_metrics(ads: DataFrame) -> DataFrame:
-    daily = sum_measures(latest_ads(ads), ["source", "date"], "daily_")
+    daily = sum_measures(latest_by_source(ads), ["source", "date"], "daily_")
     return measures_as_double(daily, "daily_")
 
 
 def channel_totals(ads: DataFrame) -> DataFrame:
     """Exact totals per source, for further calculation."""
-    return sum_measures(latest_ads(ads), ["source"])
+    return sum_measures(latest_by_source(ads), ["source"])
 
 
 def ads_channel_totals(ads: DataFrame) -> DataFrame:
@@ -132,7 +143,7 @@ def monthly_report(monthly: DataFrame) -> DataFrame:
 
 def monthly_cac_by_channel(ads: DataFrame) -> DataFrame:
     month = F.date_format("date", "yyyy-MM").alias("month")
-    return monthly_report(sum_measures(latest_ads(ads), ["source", month])).orderBy(
+    return monthly_report(sum_measures(latest_by_source(ads), ["source", month])).orderBy(
         "channel", "month"
     )
 

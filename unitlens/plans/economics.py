@@ -18,7 +18,7 @@ from unitlens.plans.acquisition import (
     MEASURES,
     channel_totals,
     funnel_rates,
-    latest_ads,
+    latest_by_source,
     sum_measures,
 )
 from unitlens.plans.revenue import LtvTerms, channel_components, registrations
@@ -32,7 +32,7 @@ BREAK_EVEN = 1
 
 def dedup_check(ads: DataFrame) -> DataFrame:
     return (
-        latest_ads(ads)
+        latest_by_source(ads)
         .groupBy(*AD_DAY)
         .agg(F.count("*").alias("n"))
         .agg(F.count_if(F.col("n") > 1).alias("violating_ad_days"))
@@ -60,7 +60,7 @@ def spend_scale_check(
 ) -> DataFrame:
     """Stored spend against the expected one; about 100 shows the stored scale."""
     pairs = [F.lit(x) for item in expected.items() for x in item]
-    raw = latest_ads(ads).groupBy("source").agg(F.sum("spend").alias("spend"))
+    raw = latest_by_source(ads).groupBy("source").agg(F.sum("spend").alias("spend"))
     return raw.withColumn(
         "expected", F.create_map(*pairs)[F.col("source")].cast("double")
     ).select(
@@ -72,7 +72,7 @@ def spend_scale_check(
 
 
 def _reconcile_registrations(product_events: DataFrame, ads: DataFrame) -> DataFrame:
-    marketing = sum_measures(latest_ads(ads), ["source"]).select(
+    marketing = channel_totals(ads).select(
         F.col("source").alias("channel"),
         as_money(F.col("total_registrations"), 0).alias("marketing_registrations"),
     )
@@ -145,7 +145,7 @@ def kpi_cards(product_events: DataFrame, orders: DataFrame, ads: DataFrame) -> D
     components = channel_components(product_events, orders)
     summed = [c for c in components.columns if c != "channel"]
     revenue = components.agg(*(F.sum(c).alias(c) for c in summed))
-    spend = sum_measures(latest_ads(ads), [])
+    spend = sum_measures(latest_by_source(ads), [])
     cac = funnel_rates()["cac"]
     return side_by_side(revenue, spend).select(
         as_money(F.col("total_revenue")).alias("total_revenue_6m"),
