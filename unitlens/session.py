@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 
 LOCAL_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.shuffle.partitions": "8",
     "spark.driver.memory": "8g",
