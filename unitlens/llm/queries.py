@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitlens.llm.language_id import identify
+from unitlens.llm.mixing import mix_sources
+from unitlens.llm.ngram_join import ngram_join
 from unitlens.llm.quality_rules import quality
+from unitlens.llm.scratch import ship_package
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,11 +28,30 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mix_sources(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    joined = ngram_join(table(spark, folder, "documents").select("doc_id", "text"))
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, folder)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op9_language_id)
+    f.__name__: shipped(f) for f in (op1_quality_rules, op2_source_mixing, op4_ngram_jaccard_join, op9_language_id)
 }
 ORACLE: dict[str, str] = {}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,11 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this library where it is not installed, through Spark's own files."""
+    context = spark.sparkContext
+    if "unitlens.zip" not in context._python_includes:
+        top = Path(__file__).resolve().parents[2]
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='unitlens-')}/unitlens", "zip", top, "unitlens"))
