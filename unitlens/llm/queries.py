@@ -8,11 +8,13 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from unitlens.llm.decontamination import contaminated
 from unitlens.llm.language_id import identify
 from unitlens.llm.mixing import mix_sources
 from unitlens.llm.ngram_join import ngram_join
 from unitlens.llm.quality_rules import quality
 from unitlens.llm.scratch import ship_package
+from unitlens.llm.token_output import Tokenizer, pack
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +35,15 @@ def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents").select("doc_id", "text"), Tokenizer.read())
+
+
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return contaminated(docs.select("doc_id", "text"), items.select("item_id", "text")).drop("rid")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     joined = ngram_join(table(spark, folder, "documents").select("doc_id", "text"))
     return joined.select("doc_id", "n_shingles", "component_id")
@@ -52,6 +63,6 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: shipped(f) for f in (op1_quality_rules, op2_source_mixing, op4_ngram_jaccard_join, op9_language_id)
+    f.__name__: shipped(f) for f in (op1_quality_rules, op2_source_mixing, op3_token_output, op4_ngram_jaccard_join, op5_decontamination, op9_language_id)
 }
 ORACLE: dict[str, str] = {}
