@@ -36,19 +36,23 @@ def byte_codes(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * MULTIPLIER + np.uint64(seed))
 
 
-@lru_cache(maxsize=8)
-def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse."""
-    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+BASE = 0x2545F4914F6CDD1D
+POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of BASE modulo 2**64, and of its inverse; kept for the next call."""
+    if not POWERS or len(POWERS[0][0]) < n:
+        size = 1 << max(16, n.bit_length())
+        up, down = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        POWERS[:] = [(np.multiply.accumulate(up), np.multiply.accumulate(down))]
+    return POWERS[0]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit fingerprints of byte spans; equal bytes give equal values."""
-    base = 0x2545F4914F6CDD1D + 2 * seed
-    size = 1 << max(12, int(len(data)).bit_length())
-    up, down = powers(size, base)
+    up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(byte_codes(seed)[data] * up[: len(data)], out=sums[1:])
     raw = (sums[ends] - sums[starts]) * down[starts]
@@ -64,7 +68,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def chunks(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column with about ``most`` bytes each; one row is never cut."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(sizes) // most
