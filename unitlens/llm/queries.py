@@ -14,6 +14,8 @@ from unitlens.llm.mixing import mix_sources
 from unitlens.llm.ngram_join import ngram_join
 from unitlens.llm.quality_rules import quality
 from unitlens.llm.scratch import ship_package
+from unitlens.llm.substring_dedup import substring_dedup
+from unitlens.llm.suffix_dedup import suffix_dedup
 from unitlens.llm.token_output import Tokenizer, pack
 
 
@@ -49,6 +51,16 @@ def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = suffix_dedup(table(spark, folder, "documents").select("doc_id", "text"), keep_first=False)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring_dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
@@ -63,6 +75,6 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: shipped(f) for f in (op1_quality_rules, op2_source_mixing, op3_token_output, op4_ngram_jaccard_join, op5_decontamination, op9_language_id)
+    f.__name__: shipped(f) for f in (op1_quality_rules, op2_source_mixing, op3_token_output, op4_ngram_jaccard_join, op5_decontamination, op7_suffix_dedup, op8_substring_dedup, op9_language_id)
 }
 ORACLE: dict[str, str] = {}
