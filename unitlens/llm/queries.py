@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from unitlens.llm.decontamination import contaminated
 from unitlens.llm.language_id import identify
+from unitlens.llm.line_dedup import line_dedup
 from unitlens.llm.mixing import mix_sources
 from unitlens.llm.ngram_join import ngram_join
 from unitlens.llm.quality_rules import quality
@@ -17,6 +18,7 @@ from unitlens.llm.scratch import ship_package
 from unitlens.llm.substring_dedup import substring_dedup
 from unitlens.llm.suffix_dedup import suffix_dedup
 from unitlens.llm.token_output import Tokenizer, pack
+from unitlens.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,6 +53,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup(table(spark, folder, "documents").select("doc_id", "text")).drop("rid")
+
+
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = suffix_dedup(table(spark, folder, "documents").select("doc_id", "text"), keep_first=False)
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -65,6 +71,10 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,6 +85,6 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: shipped(f) for f in (op1_quality_rules, op2_source_mixing, op3_token_output, op4_ngram_jaccard_join, op5_decontamination, op7_suffix_dedup, op8_substring_dedup, op9_language_id)
+    f.__name__: shipped(f) for f in (op1_quality_rules, op2_source_mixing, op3_token_output, op4_ngram_jaccard_join, op5_decontamination, op6_line_dedup, op7_suffix_dedup, op8_substring_dedup, op9_language_id, op10_toxicity)
 }
 ORACLE: dict[str, str] = {}
