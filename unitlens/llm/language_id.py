@@ -168,39 +168,54 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | None
     return Model(languages, union, *(np.stack(x, 1) for x in zip(*each)))
 
 
-def score_column(model: Model | None):
-    """A vectorised function from texts to prediction, confidence, cross-entropy and length."""
-    kind = "struct<lang_pred: string, score: double, cross_entropy: double, n_grams: long>"
-
-    @F.pandas_udf(kind)
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table = classes()
-        for series in texts:
-            out = []
-            column = pa.Array.from_pandas(series, type=pa.large_string())
-            for a, b in chunks(column):
-                whole = ["" if t is None else t for t in column[a:b].to_pylist()]
-                if model is None:
-                    out.append(pd.DataFrame({"lang_pred": [UNDETERMINED] * len(whole), "score": 0.0, "cross_entropy": np.nan, "n_grams": 0}))
-                    continue
-                entropy, n = model.cross_entropies(whole)
-                best = entropy.argmin(1)
-                lowest = entropy.min(1)
-                gap = (entropy - lowest[:, None]) * np.minimum(n, 100)[:, None]
-                lettered = np.array([bool(t) and bool((table[np.frombuffer(t.replace("\0", " ").lower().encode("utf-32-le", "surrogatepass"), np.uint32)]).any()) for t in whole], bool)
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "lang_pred": np.where(lettered, np.array(model.languages, object)[best], UNDETERMINED),
-                            "score": np.where(lettered, 1 / np.exp(-gap).sum(1), 0.0),
-                            "cross_entropy": np.where(lettered, lowest, np.nan),
-                            "n_grams": n.astype(np.int64),
-                        }
-                    )
-                )
-            yield pd.concat(out) if out else pd.DataFrame({"lang_pred": [], "score": [], "cross_entropy": [], "n_grams": []})
-
-    return predict
+def lettered(text: str | None) -> bool:
+    points = np.frombuffer((text or "").replace("\0", " ").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    return bool(classes()[points].any())
+
+
+@dataclass
+class Identifier:
+    """Models and, by language, the cross-entropy beyond which a text is rejected."""
+
+    model: Model | None
+    limits: dict[str, float]
+
+    def predict(self, column: pa.Array) -> pd.DataFrame:
+        """lang_pred, score, cross_entropy and rejected of every text."""
+        out = [self.chunk(column[a:b].to_pylist()) for a, b in chunks(column)]
+        return pd.concat(out) if out else self.chunk([])
+
+    def chunk(self, texts: list[str | None]) -> pd.DataFrame:
+        some = np.array([self.model is not None and lettered(t) for t in texts], bool)
+        lang, score, lowest = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts)), np.full(len(texts), np.nan)
+        if some.any():
+            entropy, n = self.model.cross_entropies([t for t, own in zip(texts, some) if own])
+            gap = (entropy - entropy.min(1)[:, None]) * np.minimum(n, 100)[:, None]
+            lang[some] = np.array(self.model.languages, object)[entropy.argmin(1)]
+            score[some], lowest[some] = 1 / np.exp(-gap).sum(1), entropy.min(1)
+        limit = np.array([self.limits.get(name, np.inf) for name in lang], float)
+        rejected = ~some | (np.nan_to_num(lowest) > limit)
+        return pd.DataFrame({"lang_pred": lang, "score": score, "cross_entropy": lowest, "rejected": rejected})
+
+    def column(self):
+        """A vectorised function from texts to the prediction."""
+
+        @F.pandas_udf("struct<lang_pred: string, score: double, cross_entropy: double, rejected: boolean>")
+        def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for series in texts:
+                yield self.predict(pa.Array.from_pandas(series, type=pa.large_string()))
+
+        return predict
+
+    def accepts(self):
+        """A vectorised function from texts to whether they are not rejected."""
+
+        @F.pandas_udf("boolean")
+        def accepted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for series in texts:
+                yield ~self.predict(pa.Array.from_pandas(series, type=pa.large_string()))["rejected"]
+
+        return accepted
 
 
 def held_out(doc_id: Column) -> Column:
@@ -208,6 +223,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def labelled(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    return base.withColumn("held_out", held_out(F.col("doc_id")))
+
+
+def judged(docs: DataFrame, doc_id: str, text: str, lang: str) -> tuple[Identifier, DataFrame]:
+    """An identifier learned from ``docs``, and its answers before any rejection."""
+    base = labelled(docs, doc_id, text, lang)
+    first = Identifier(fit(base.where(~F.col("held_out"))), {})
+    scored = base.select("doc_id", "lang", "held_out", first.column()(F.col("text")).alias("p"))
+    scored = written(scored.select("doc_id", "lang", "held_out", "p.*"))
+    right = scored.where(~F.col("held_out") & (F.col("lang") == F.col("lang_pred")))
+    quantile = F.percentile_approx("cross_entropy", REJECT_QUANTILE, 1000)
+    limits = right.groupBy("lang_pred").agg(quantile.alias("q")).collect()  # at most MAX_LANGUAGES rows
+    return Identifier(first.model, {row["lang_pred"]: row["q"] * REJECT_SLACK for row in limits}), scored
+
+
+def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Identifier:
+    """The identifier that ``identify`` uses on the same documents."""
+    return judged(docs, doc_id, text, lang)[0]
+
+
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, lang_pred, score, cross_entropy, rejected.
 
@@ -218,15 +255,11 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     Rows without doc_id are training rows. Repeated rows get the same answer, an empty table gives no
     rows, and other columns are not touched.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    base = base.withColumn("held_out", held_out(F.col("doc_id")))
-    model = fit(base.where(~F.col("held_out")))
-    scored = base.select("doc_id", "lang", "held_out", score_column(model)(F.col("text")).alias("p"))
-    scored = written(scored.select("doc_id", "lang", "held_out", "p.*"))
-    right = scored.where(~F.col("held_out") & (F.col("lang") == F.col("lang_pred")))
-    limits = right.groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", REJECT_QUANTILE, 1000).alias("q")).collect()
+    identifier, scored = judged(docs, doc_id, text, lang)
     limit = F.lit(None).cast("double")
-    for row in limits:  # one row per language, at most MAX_LANGUAGES
-        limit = F.when(F.col("lang_pred") == row["lang_pred"], F.lit(row["q"] * REJECT_SLACK)).otherwise(limit)
-    strange = (F.col("lang_pred") == UNDETERMINED) | F.coalesce(F.col("cross_entropy") > limit, F.lit(False))
-    return scored.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", strange.alias("rejected"))
+    for language, most in identifier.limits.items():
+        limit = F.when(F.col("lang_pred") == language, F.lit(most)).otherwise(limit)
+    rejected = F.col("rejected") | F.coalesce(F.col("cross_entropy") > limit, F.lit(False))
+    return scored.withColumn("rejected", rejected).select(
+        "doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"
+    )
