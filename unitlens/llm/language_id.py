@@ -23,8 +23,9 @@ BITS = 6
 OTHER, EDGE = 0, 63
 MASKS = {n: (1 << BITS * n) - 1 for n in (1, 2, 3)}
 MAX_LANGUAGES = 64
-#: Cross-entropy counts as strange beyond the quantile of the training documents, times the slack.
-REJECT_QUANTILE, REJECT_SLACK = 0.999, 1.2
+#: Cross-entropy counts as strange beyond the quantile of the training documents, times the slack, and
+#: never below a share of what equally likely characters would have: a small training table says little.
+REJECT_QUANTILE, REJECT_SLACK, REJECT_LEAST = 0.999, 1.2, 0.75 * 6 * float(np.log(2))
 UNDETERMINED = "und"
 
 
@@ -237,7 +238,7 @@ def judged(docs: DataFrame, doc_id: str, text: str, lang: str) -> tuple[Identifi
     right = scored.where(~F.col("held_out") & (F.col("lang") == F.col("lang_pred")))
     quantile = F.percentile_approx("cross_entropy", REJECT_QUANTILE, 1000)
     limits = right.groupBy("lang_pred").agg(quantile.alias("q")).collect()  # at most MAX_LANGUAGES rows
-    return Identifier(first.model, {row["lang_pred"]: row["q"] * REJECT_SLACK for row in limits}), scored
+    return Identifier(first.model, {row["lang_pred"]: max(row["q"] * REJECT_SLACK, REJECT_LEAST) for row in limits}), scored
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Identifier:
@@ -251,7 +252,8 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     The models learn from the rows with text and language that are not held out. A text that is null
     or has no letter is ``und`` with score 0 and rejected, and so is everything if no row is labelled.
     ``rejected`` is also true for a text whose cross-entropy lies beyond REJECT_QUANTILE of its
-    language's training documents, times REJECT_SLACK; ``lang_pred`` still names the closest language.
+    language's training documents, times REJECT_SLACK, and REJECT_LEAST; ``lang_pred`` still names the
+    closest language.
     Rows without doc_id are training rows. Repeated rows get the same answer, an empty table gives no
     rows, and other columns are not touched.
     """
