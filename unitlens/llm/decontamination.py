@@ -32,8 +32,8 @@ class Search:
     most: float = 0.2
     recall: float = 0.95
     agreement: float = 0.85
-    sampled: int = 8
-    walks: int = 2
+    sampled: int = 16
+    walks: int = 3
     steps: int = 64
     stride: int = 16
     seed: int = 7
