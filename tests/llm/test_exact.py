@@ -1,0 +1,186 @@
+"""Operators whose contracts plain Python can restate, on whole small tables and on odd rows."""
+
+from __future__ import annotations
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+
+from unitlens.llm import ngram_join as ngram
+from unitlens.llm import suffix_dedup as suffix
+from unitlens.llm.mixing import mix_sources
+from unitlens.llm.ngram_join import ngram_join
+from unitlens.llm.quality_rules import quality
+from unitlens.llm.scratch import ship_package, written
+from unitlens.llm.substring_dedup import substring_dedup
+from unitlens.llm.suffix_dedup import suffix_dedup
+
+FOLDER = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, rid long, size long, key string, n int, quality int, gone string"
+
+LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(30_000))
+NEAR = " ".join(f"v{i}" for i in range(120))
+ODD = [
+    None,
+    "",
+    " \t\n\x0b\x0c\r ",
+    "one",
+    "One  two",
+    "a a a a a a a a a a a a a a a a a a a a a a a a a a a a a a",
+    "b " * 300,
+    "x" * 900,
+    "ä ö ü ß 日本 語 " * 30,
+    LONG,
+    LONG + " end",
+    NEAR,
+    NEAR.replace("v7 ", "V7 ", 1),
+    NEAR.replace("v60", "u60"),
+    NEAR + " " + NEAR,
+    "line one here\n\nline one here\r\nline two\n" * 4,
+    "\U0001f600 mixed \u0000 text " * 12,
+]
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    ship_package(spark)
+    given = [(r[0], r[1]) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
+    return given + [(10_000 + i, t) for i, t in enumerate(ODD)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    """The rows with further columns whose names the operators use themselves, over several partitions."""
+    wide = [(i, t, "en", None if i % 7 == 0 else f"s{i % 3}", 1, 2, "k", 3, 4, "g") for i, t in rows]
+    return written(spark.createDataFrame(wide, SCHEMA).repartition(5, "doc_id"))
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_quality_measures(docs, rows):
+    m = F.col("quality.measures")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    found = quality(docs).select("doc_id", *[m[n] for n in names], "quality.base_failed").collect()
+    assert {r[0]: tuple(r[1:]) for r in found} == {i: brute.quality(t) for i, t in rows}
+
+
+def test_quality_verdicts(spark):
+    good = "It is the story of a man and of the road that was in front of him. " * 4 + " ".join(f"tale{i}" for i in range(40))
+    cases = {
+        1: (good, []),
+        2: (" ".join(f"{w}***" for w in good.split()), ["symbols_per_word", "stop_word_ratio"]),
+        3: (" ".join(f"blob{i}" for i in range(80)), ["stop_word_ratio"]),
+        4: ("\n".join(["the same line of a text"] * 12 + [f"{i} of" for i in range(5)]), ["dup_line_ratio"]),
+        5: ("\n".join(f"- the point {i} of it" for i in range(20)), ["bullet_line_ratio"]),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in cases.items()], "doc_id long, text string")
+    found = {r[0]: (r[1], r[2]) for r in quality(df).select("doc_id", "quality.broken", "quality.kept").collect()}
+    for i, (text, broken) in cases.items():
+        assert found[i][0] == broken
+        assert found[i][1] == (not broken and not brute.quality(text)[5])
+
+
+def test_quality_is_one_native_scan(docs, empty):
+    plan = quality(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+    assert quality(empty).count() == 0
+
+
+def test_jaccard_components(docs, rows, monkeypatch):
+    monkeypatch.setattr(ngram, "BLOCK", 3)  # so that common n-grams take several blocks
+    found = ngram_join(docs).collect()
+    want = brute.jaccard_components(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
+    assert sorted(r.doc_id for r in found if r.first) == sorted({c for _, c in want.values()})
+
+
+def test_jaccard_without_ids_and_with_repeats(spark):
+    table = [(None, NEAR), (5, NEAR), (5, NEAR), (None, "solo text without partner"), (2, None), (None, None)]
+    df = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
+    found = ngram_join(df).orderBy("rid").collect()
+    assert [(r.doc_id, r.component_id, r.first) for r in found] == [
+        (None, 5, False), (5, 5, True), (5, 5, False), (None, None, True), (2, 2, True), (None, None, True),
+    ]
+
+
+def test_large_group_of_near_copies(spark):
+    """Copies that all resemble one text but not each other, and a group in which all do."""
+    base = [f"word{i}" for i in range(300)]
+    star = [(k, " ".join(base[: 3 * k] + [f"new{k}a", f"new{k}b"] + base[3 * k + 2 :] + ["t"] * (k % 3))) for k in range(60)]
+    tight = [(100 + k, " ".join([f"q{i}" for i in range(400)] + [f"end{k}"])) for k in range(60)]
+    table = [*star, (90, " ".join(base)), *tight]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3, "doc_id")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(df).collect()}
+    assert found == brute.jaccard_components(table)
+
+
+@pytest.mark.parametrize("group", [1 << 18, 1])
+def test_repeated_bytes(docs, rows, monkeypatch, group):
+    monkeypatch.setattr(suffix, "GROUP", group)  # 1: every key by sums
+    found = suffix_dedup(docs, keep_first=False).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)
+    )
+    assert {r[0]: tuple(r[1:]) for r in found.collect()} == brute.repeated_bytes(rows)
+
+
+def test_later_bytes_only(spark):
+    half = "".join(chr(97 + i * i % 26) for i in range(150))
+    table = [(3, half + "1" + LONG[:5000]), (1, LONG[200:4000]), (2, "y" * 450), (None, LONG[:700])]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    data = {i: t.encode() for i, t in table}
+    seen, want = set(), {}
+    for i in (1, 2, 3, None):
+        b, gone = data[i], set()
+        for p in range(len(b) - 199):
+            if b[p : p + 200] in seen:
+                gone.update(range(p, p + 200))
+            seen.add(b[p : p + 200])
+        want[i] = bytes(c for k, c in enumerate(b) if k not in gone)
+    found = {r.doc_id: bytes(r.kept) for r in suffix_dedup(df).collect()}
+    assert found == want
+
+
+def test_repeated_words(docs, rows):
+    found = substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256))
+    assert {r[0]: tuple(r[1:]) for r in found.collect()} == brute.repeated_words(rows)
+
+
+def test_repeated_words_of_rows_without_id(spark):
+    table = [(None, NEAR), (7, NEAR), (7, NEAR), (None, None)]
+    df = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
+    found = substring_dedup(df).orderBy("rid").collect()
+    assert [(r.doc_id, r.n_words, r.n_removed) for r in found] == [(None, 120, 120), (7, 120, 0), (7, 120, 120), (None, 0, 0)]
+
+
+def test_mixture(docs, rows, empty):
+    found = mix_sources(docs).collect()
+    again = mix_sources(docs.repartition(3)).collect()
+    assert sorted(map(str, found)) == sorted(map(str, again))
+    sizes = {i: len(brute.words(t)) for i, t in rows}
+    assert {r.doc_id: r["size"] for r in found} == sizes
+    by = {}
+    for r in found:
+        by.setdefault(r.source, []).append(r)
+    order = sorted(by, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    total, held = 1.5 * sum(sizes.values()), {}
+    while True:
+        level = (total - sum(held.values())) / max(1, sum(w for s, w in weight.items() if s not in held))
+        over = {s: 2 * by[s][0].source_size for s in by if s not in held and weight[s] * level >= 2 * by[s][0].source_size}
+        if not over:
+            break
+        held |= over
+    for s, own in by.items():
+        assert own[0].source_size == sum(r["size"] for r in own)
+        assert own[0].target == pytest.approx(held.get(s, weight[s] * level))
+        assert all(r.copies in (0, 1, 2) and r.taken == r.copies * r["size"] for r in own)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own)
+    assert mix_sources(empty).count() == 0
+
+
+def test_empty_tables(empty):
+    for operator in (ngram_join, suffix_dedup, substring_dedup):
+        assert operator(empty).count() == 0
