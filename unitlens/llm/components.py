@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from unitlens.llm.scratch import written
 
 
+#: Links are few beside the corpus that they were found in.
+MERGED = 8
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``links``; component is the smallest node it reaches.
 
@@ -18,11 +22,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     no rows.
     """
     pairs = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
-    edges = written(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    edges = written(both.distinct(), MERGED)
     labels = written(
         edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("low")).select(
             "node", F.least("node", "low").alias("component"), F.lit(True).alias("moved")
-        )
+        ),
+        MERGED,
     )
     while not labels.where("moved").isEmpty():
         told = edges.join(labels.select(F.col("node").alias("y"), "component"), "y").groupBy(F.col("x").alias("node")).agg(
@@ -33,6 +39,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = written(
             near.join(jump, "next").select(
                 "node", F.col("beyond").alias("component"), (F.col("beyond") < F.col("component")).alias("moved")
-            )
+            ),
+            MERGED,
         )
     return labels.select("node", "component")

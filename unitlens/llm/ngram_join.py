@@ -192,13 +192,24 @@ def candidates(rule: Jaccard, nearest: bool):
                     x, y = x[good], y[good]
                     after[x] = before[y] = True
                     out.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])]))
+                    if sum(x.shape[1] for x in out) > 1 << 18:
+                        yield distinct_pairs(out)
+                        out = []
             if out:
-                pairs = np.unique(np.concatenate(out, 1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                yield distinct_pairs(out)
 
     return run
 
 
+def distinct_pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.concatenate(parts, 1)
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+
+
 def packed_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,8 +223,8 @@ def verified(rule: Jaccard):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= rule.percent * (len(x) + len(y) - both))
             kept = batch.filter(pa.array(keep, pa.bool_()))
@@ -274,7 +285,7 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule
     buckets = written(
         found.join(named, "k1").select("gram", F.col("n").cast("long").alias("n"), "cls", "place", F.lit(0).cast("long").alias("comp"), "sketch", "many")
     )
-    first = written(compare(buckets, rule, nearest=True))
+    first = written(compare(buckets, rule, nearest=True), 8)
     ends = first.select(F.col("a").alias("cls")).union(first.select(F.col("b").alias("cls"))).distinct()
     texts = base.withColumnRenamed("rid", "cls").join(ends, "cls", "left_semi").select("cls", "text")
     grams = written(texts.mapInArrow(packed_sets(rule.width), "cls long, grams binary"))
@@ -284,13 +295,13 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule
         both = both.join(grams.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
         return both.mapInArrow(verified(rule), "a long, b long")
 
-    links = written(verify(first))
+    links = written(verify(first), 8)
     comps = components(links)
     again = buckets.drop("comp").join(comps.select(F.col("node").alias("cls"), F.col("component").alias("of")), "cls", "left")
     again = again.withColumn("comp", F.coalesce("of", "cls")).join(ends, "cls", "left_semi")
     mixed = again.groupBy("gram").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c < d").select("gram")
     second = compare(again.join(mixed, "gram", "left_semi"), rule, nearest=False)
-    links = written(links.unionByName(verify(second)))
+    links = written(links.unionByName(verify(second)), 8)
     comps = components(links)
 
     placed = classes.select("k1", "k2", "n", "cls").join(
@@ -300,7 +311,7 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule
     rows = rows.join(placed, ["k1", "k2", "n"], "left").select(
         "rid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rid").alias("component")
     )
-    rows = written(rows)
+    rows = written(rows, 8)
     heads = rows.groupBy("component").agg(
         F.min("doc_id").alias("component_id"),
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))["rid"].alias("head"),

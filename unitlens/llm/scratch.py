@@ -19,10 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, merged: int = 1) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there, so a lost
-    executor costs no recomputation and every later use sees the same rows."""
+    executor costs no recomputation and every later use sees the same rows. ``merged`` shuffle
+    partitions go to one file, for tables that are much smaller than what they come from."""
     spark = df.sparkSession
+    if merged > 1:
+        df = df.coalesce(max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) // merged))
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
