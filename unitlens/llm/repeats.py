@@ -160,8 +160,8 @@ class Repeats:
     def reread(self, firsts: DataFrame, with_windows: bool) -> DataFrame:
         """Windows or bytes of the first occurrences of ``firsts``, read from the documents again.
 
-        The filter may let other segments pass as well; their windows are true windows, and the bytes
-        of segments that were not asked for are dropped by the caller's join.
+        The filter may let other segments pass as well. They are true segments of the documents, so
+        what they repeat, or what repeats them, is a true repeat.
         """
         spark = self.base.sparkSession
         asked = firsts.select("key", "digest", F.col("first.rid").alias("rid"), F.col("first.start").alias("start"))
