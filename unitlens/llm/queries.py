@@ -13,6 +13,7 @@ from unitlens.llm.language_id import identify
 from unitlens.llm.line_dedup import line_dedup
 from unitlens.llm.mixing import mix_sources
 from unitlens.llm.ngram_join import ngram_join
+from unitlens.llm.oracle import ORACLE as ORACLE
 from unitlens.llm.quality_rules import quality
 from unitlens.llm.scratch import ship_package
 from unitlens.llm.substring_dedup import substring_dedup
@@ -87,4 +88,3 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: shipped(f) for f in (op1_quality_rules, op2_source_mixing, op3_token_output, op4_ngram_jaccard_join, op5_decontamination, op6_line_dedup, op7_suffix_dedup, op8_substring_dedup, op9_language_id, op10_toxicity)
 }
-ORACLE: dict[str, str] = {}
