@@ -116,6 +116,8 @@ def test_hierarchy_levels_add_up(spark):
 
 def test_no_ad_day_twice_after_deduplication(spark):
     assert rows(economics.dedup_check(ads_df(spark, M2_ADS))) == [(0,)]
+    # The check itself sees what is not deduplicated.
+    assert rows(economics.violating_ad_days(ads_df(spark, M2_ADS))) == [(1,)]
 
 
 def test_reconciliation_keeps_one_sided_channels(spark):

@@ -4,12 +4,15 @@ import math
 from datetime import date
 from decimal import Decimal
 
+import pytest
 from conftest import rows
 from fixtures import events_df, orders_df
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from unitlens.functions import mean, ratio, rounded
+from unitlens.operators.profiling import table_schema
 from unitlens.operators.quantiles import quantiles_of
 from unitlens.plans import profiling
 
@@ -98,3 +101,30 @@ def test_quantiles_equal_sorted_ranks(spark, cents):
     ordered = sorted(values)
     expected = tuple(ordered[max(1, math.ceil(p * len(values))) - 1] for p in probs)
     assert rows(quantiles_of(df, "amount", probs)) == [expected]
+
+
+@pytest.mark.parametrize("kind", ["decimal(18,2)", "bigint", "double", "decimal(38,6)", "int"])
+def test_quantiles_of_any_numeric_type(spark, kind):
+    whole = [0, 1, -1, 7, 7, 7, 10**4, -(10**4), 123456789, -(2**31), 2**31 - 1]
+    values = {
+        "decimal(18,2)": [Decimal(x) / 100 for x in [*whole, 10**18 - 1, 1 - 10**18, 10**17]],
+        "bigint": [*whole, 2**63 - 1, -(2**63), 10**18],
+        "double": [float(x) for x in whole] + [5e-324, -5e-324, 1e308, -1e308, 2.0**-1022, 1 / 3, 0.1, float("inf")],
+        "decimal(38,6)": [Decimal(x) / 10**6 for x in whole] + [Decimal(10) ** 31, -(Decimal(10) ** 31)],
+        "int": whole,
+    }[kind]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], f"amount {kind}").repartition(2)
+    probs = [k / 20 for k in range(21)]
+    ordered = sorted(values)
+    expected = tuple(ordered[max(1, math.ceil(p * len(values))) - 1] for p in probs)
+    assert rows(quantiles_of(df, "amount", probs)) == [expected]
+
+
+def test_quantiles_refuse_text(spark):
+    with pytest.raises(TypeError, match="numeric"):
+        quantiles_of(spark.createDataFrame([("a",)], "amount string"), "amount", [0.5])
+
+
+def test_table_schema_reads_nothing(spark):
+    events = events_df(spark, []).where(F.raise_error(F.lit("read")) == 1)
+    assert table_schema(events)[0][:2] == ("user_id", "bigint")

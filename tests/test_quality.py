@@ -96,7 +96,8 @@ def test_ads_checks(spark):
     )
     assert rows(dq.dq_ads_metric_validity(bad)) == [(2, 1, 1, 1, 1, 1, -1.0, 3.0, 1.0)]
     assert rows(dq.dq_ads_funnel(bad)) == [(2, 1, 1, 1)]
-    assert rows(dq.dq_ads_timestamp(bad))[0][:2] == (2, 1)
+    # A date alone is no load time.
+    assert rows(dq.dq_ads_timestamp(bad))[0][:2] == (2, 2)
     assert rows(dq.dq_ads_nulls(bad)) == [
         ("marketing_ads_raw", 2, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1)
     ]
@@ -123,3 +124,38 @@ def test_verdicts_name_what_failed(spark):
         ("orders", "paying_users_without_product_events"): 1,
         ("marketing_ads_raw", "invalid_timestamp_rows"): 1,
     }
+
+
+def test_verdicts_fail_on_empty_tables(spark):
+    found = dq.dq_verdicts(events_df(spark, []), orders_df(spark, []), ads_df(spark, []))
+    failed = {(r.subject, r.check) for r in found.collect() if not r.passed}
+    assert failed == {(t, "empty_table") for t in ("product_events", "orders", "marketing_ads_raw")}
+    assert found.where("check = 'duplicate_rows'").count() == 3
+
+
+def test_ads_duplicates_compare_column_by_column_in_verdicts(spark):
+    """Two rows whose texts are equal only because a NULL has no place in them."""
+    day, t = "2024-01-02", "2024-01-02 08:00:00"
+    ads = ads_df(spark, [("meta", 1, day, t, 7, 1, None, 3, 4), ("meta", 1, day, t, 7, None, 1, 3, 4)])
+    assert rows(dq.dq_ads_duplicates(ads)) == [(2, 1, 1)]
+    assert rows(dq.dq_ads_duplicates_strict(ads)) == [(2, 2, 0)]
+    events = events_df(spark, [(1, "install", t, "meta")])
+    found = dq.dq_verdicts(events, orders_df(spark, [(1, "purchase", t, 1)]), ads)
+    observed = {(r.subject, r.check): r.observed for r in found.collect()}
+    assert observed["marketing_ads_raw", "duplicate_rows"] == 0
+    assert observed["marketing_ads_raw", "null_clicks"] == 1
+
+
+def test_load_times_have_one_form(spark):
+    day = "2024-01-02"
+    times = ["2024-01-02 08:00:00", "2024", "2024-01", "2024-01-02", "2024-01-02T08:00:00", "", " ", None]
+    times += ["2024-01-02 08:00:00+05:00", "2024-01-02 08:00:00 UTC", "2024-02-30 08:00:00", "2024-01-02 25:00:00"]
+    ads = ads_df(spark, [("meta", i, day, t, 1, 1, 1, 1, 1) for i, t in enumerate(times)])
+    assert rows(dq.dq_ads_timestamp(ads))[0][:2] == (len(times), len(times) - 1)
+
+
+def test_users_of_several_channels(spark):
+    t = "2024-01-01 00:00:00"
+    events = [(1, "install", t, "meta"), (1, "like", t, "google"), (2, "install", t, "meta"), (2, "like", t, "meta")]
+    events += [(3, "install", t, None), (None, "install", t, "meta"), (4, "install", t, None), (4, "like", t, "meta")]
+    assert rows(dq.dq_multi_channel_users(events_df(spark, events))) == [(4, 1)]

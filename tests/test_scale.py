@@ -9,8 +9,9 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from unitlens.catalog import QUERIES
-from unitlens.operators.skew import Skew, give_part, hot_keys
-from unitlens.plans import acquisition, data_quality, profiling, revenue
+from unitlens.operators.cohorts import cohort_window_join
+from unitlens.operators.skew import Skew, hot_keys
+from unitlens.plans import acquisition, data_quality, economics, profiling, revenue
 from unitlens.sources import Tables, read_orders, read_product_events, write_mart
 
 FOLDER = "/root/testdata/sf0.001"
@@ -21,7 +22,7 @@ def executed_plan(df) -> str:
     execution = df._jdf.queryExecution()
     execution.toRdd().count()
     text = execution.executedPlan().toString()
-    return text.split("== Initial Plan ==")[0]
+    return re.split(r"\n\+- == Initial Plan ==", text)[0]
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -36,7 +37,13 @@ def test_scans_read_only_the_columns_used(spark):
     assert "ReadSchema: struct<l_partkey:bigint,l_shipdate:timestamp_ntz>" in plan
 
 
-def test_stored_tables_get_filters_and_columns_pushed(spark, tmp_path):
+@pytest.fixture
+def whole_plans(conf):
+    with conf(spark__sql__maxMetadataStringLength="3000"):
+        yield
+
+
+def test_stored_tables_get_filters_and_columns_pushed(spark, tmp_path, whole_plans):
     tables = Tables(spark, FOLDER)
     for name in ("product_events", "orders"):
         write_mart(getattr(tables, name), str(tmp_path / name))
@@ -134,12 +141,19 @@ def test_adaptive_execution_may_split_the_join(spark, conf):
     assert found == plain_left_join(events, orders)
 
 
-def test_hot_keys_are_few_and_get_parts(spark):
+def test_hot_keys_are_few(spark):
     _, orders = hot_user_tables(spark)
-    hot = hot_keys(orders, "user_id", Skew(rows_per_task=500, fraction=1.0))
-    assert rows(hot) == [(0, 41)]
-    sampled = rows(hot_keys(orders, "user_id", Skew(rows_per_task=2000, fraction=0.05)))
-    assert [k for k, _ in sampled] == [0]
+    assert hot_keys(orders, "user_id", Skew(rows_per_task=500, fraction=1.0)) == [0]
+    assert hot_keys(orders, "user_id", Skew(rows_per_task=2000, fraction=0.05)) == [0]
+    # Every user has more than 30 payments and none more than 300 but the first: the bound holds.
+    many = orders.withColumn("user_id", F.col("user_id") % 50)
+    assert len(hot_keys(many, "user_id", Skew(100, 1.0, most=7))) == 7
+    assert len(hot_keys(many, "user_id", Skew(100, 1.0))) == 50
+
+
+def test_a_sample_that_tells_nothing_is_refused():
+    with pytest.raises(ValueError, match="sampled rows"):
+        Skew(1000, 0.0001)
 
 
 def test_hot_user_is_spread_and_nothing_is_lost(spark, conf):
@@ -156,14 +170,59 @@ def test_hot_user_is_spread_and_nothing_is_lost(spark, conf):
                 assert found_in(components) == expected
 
 
-def test_parts_are_even_and_repeatable(spark):
-    _, orders = hot_user_tables(spark)
-    hot = hot_keys(orders, "user_id", Skew(rows_per_task=500, fraction=1.0))
-    split = give_part(orders, hot, "user_id")
-    sizes = rows(split.where("user_id = 0").groupBy("part").count().select("count"))
-    assert len(sizes) == 41 and max(sizes)[0] < 1000
-    assert rows(split.where("user_id <> 0").agg(F.max("part"))) == [(0,)]
-    assert split.exceptAll(give_part(orders, hot, "user_id")).count() == 0
+def test_hot_user_is_not_shuffled(spark, conf):
+    events, orders = hot_user_tables(spark)
+    with conf(spark__sql__autoBroadcastJoinThreshold="-1"):
+        components = revenue.channel_components(events, orders, skew=Skew(500, 1.0))
+        plan = executed_plan(components)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+
+
+def test_bucketed_payments_are_not_shuffled_and_only_their_period_is_read(spark, conf, tmp_path):
+    events, orders = hot_user_tables(spark)
+    for name, df in (("bucketed_events", events), ("bucketed_orders", orders)):
+        writer = df.write.bucketBy(4, "user_id").sortBy("user_id").option("path", str(tmp_path / name))
+        writer.mode("overwrite").saveAsTable(name)
+    try:
+        with conf(
+            spark__sql__autoBroadcastJoinThreshold="-1",
+            spark__sql__adaptive__enabled="false",
+            spark__sql__sources__bucketing__enabled="true",
+            spark__sql__maxMetadataStringLength="3000",
+        ):
+            stored = spark.table("bucketed_events"), spark.table("bucketed_orders")
+            cohort = revenue.registrations(stored[0])
+            paid = cohort_window_join(
+                cohort, stored[1], "user_id", "registration_ts", "timestamp", 6,
+                period=revenue.registration_period(stored[0]),
+            )
+            plan = paid._jdf.queryExecution().executedPlan().toString()
+            assert found_in(revenue.channel_components(*stored)) == plain_left_join(*stored)
+        join = plan[plan.index("SortMergeJoin") :]
+        payments = join[: join.index("FileScan")]
+        assert "Exchange hashpartitioning(user_id" not in payments
+        scan = next(line for line in join.splitlines() if "amount" in line and "FileScan" in line)
+        pushed = scan[scan.index("PushedFilters") :]
+        assert "GreaterThanOrEqual(timestamp,2024-01-01" in pushed and "LessThan(timestamp,2024-07-30" in pushed
+    finally:
+        for name in ("bucketed_events", "bucketed_orders"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_shared_period_reaches_the_scan(spark, tmp_path, whole_plans):
+    tables = Tables(spark, FOLDER)
+    write_mart(tables.product_events, str(tmp_path / "e"))
+    events = read_product_events(spark, str(tmp_path / "e"))
+    report = economics.registration_reconciliation_shared_period(events, tables.ads)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "FileScan" in x and "event_type" in x]
+    pushed = [x[x.index("PushedFilters") :] for x in scans]
+    assert any("GreaterThanOrEqual(timestamp," in x and "LessThan(timestamp," in x for x in pushed), pushed
+
+
+def test_verdicts_scan_each_table_little(spark):
+    plan = QUERIES["dq_verdicts"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 6
 
 
 def test_hot_ad_day_is_reduced_before_the_shuffle(spark):

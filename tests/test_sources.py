@@ -3,6 +3,7 @@ from __future__ import annotations
 from datetime import date
 from decimal import Decimal
 
+import pytest
 from conftest import rows
 from fixtures import M2_ADS, ads_df
 
@@ -33,6 +34,41 @@ def test_ads_csv(spark, tmp_path):
     assert found[1].spend is None and found[1].timestamp == "not a time"
 
 
+def test_ads_csv_goes_by_name_and_refuses_what_it_cannot_read(spark, tmp_path):
+    names, first, _ = CSV.strip().split("\n")
+    turned = tmp_path / "turned.csv"
+    turned.write_text("\n".join(",".join(reversed(x.split(","))) for x in (names, first)))
+    found = read_ads(spark, str(turned)).first()
+    assert (found.impressions, found.clicks, found.ad_id, found.source) == (1000, 10, 3, "meta")
+    bad = tmp_path / "bad.csv"
+    bad.write_text(f"{names}\n{first.replace('1000', '1x000')}")
+    with pytest.raises(Exception, match="impressions is not bigint: 1x000"):
+        read_ads(spark, str(bad)).collect()
+    less = tmp_path / "less.csv"
+    less.write_text("source,ad_id\nmeta,1")
+    with pytest.raises(Exception, match="campaign_id"):
+        read_ads(spark, str(less)).collect()
+
+
+def test_ads_with_text_ids_and_without_ids(spark, tmp_path):
+    """Three ads of one day, and two rows whose ad is unknown: every row's spend is counted."""
+    path = tmp_path / "text.csv"
+    lines = [f"meta,c_1,s_1,ad_{i},2024-01-02,{100 * i}.00,10,5,2,1,2024-01-02 08:00:00" for i in (1, 2, 3)]
+    lines += [",,,,2024-01-02,700.00,10,5,2,1,2024-01-02 08:00:00"] * 2
+    path.write_text("\n".join([CSV.split("\n")[0], *lines]))
+    with pytest.raises(Exception, match="campaign_id is not bigint"):
+        read_ads(spark, str(path)).collect()
+    totals = acquisition.ads_channel_totals(read_ads(spark, str(path), ids="string"))
+    assert {r.source: r.total_spend for r in totals.collect()} == {"meta": 6.0, None: 14.0}
+
+
+def test_channels_are_spelled_in_one_way(spark, tmp_path):
+    path = tmp_path / "events.csv"
+    path.write_text("timestamp,user_id,channel,event_type\n2024-01-02 08:00:00,u1, Meta,registration\n")
+    found = read_product_events(spark, str(path), "csv", ids="string").first()
+    assert (found.user_id, found.channel) == ("u1", "meta")
+
+
 def test_marts_round_trip(spark, tmp_path):
     report = acquisition.ads_channel_totals(ads_df(spark, M2_ADS))
     for fmt in ("parquet", "csv"):

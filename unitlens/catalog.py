@@ -32,8 +32,10 @@ PLANS: list[Callable[..., DataFrame]] = [
     data_quality.dq_period_overhang,
     data_quality.dq_funnel,
     data_quality.dq_paying_users,
+    data_quality.dq_multi_channel_users,
     data_quality.dq_ads_nulls,
     data_quality.dq_ads_duplicates,
+    data_quality.dq_ads_duplicates_strict,
     data_quality.dq_ads_timestamp,
     data_quality.dq_ads_metric_validity,
     data_quality.dq_ads_funnel,

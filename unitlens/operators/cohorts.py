@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitlens.operators.skew import Skew, copy_per_part, give_part, hot_keys
+from unitlens.operators.skew import Skew, hot_keys
 
 
 def months_later(start: str | Column, months: int) -> Column:
@@ -16,6 +17,11 @@ def months_later(start: str | Column, months: int) -> Column:
     return start + F.make_ym_interval(F.lit(0), F.lit(months))
 
 
+def moment(t: datetime) -> Column:
+    """A constant without zone, which a filter can hand to the scan."""
+    return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def first_event_cohort(
     df: DataFrame, entity: str, dims: Sequence[str], event: Column, ts: str, start: str
 ) -> DataFrame:
@@ -31,36 +37,36 @@ def cohort_window_join(
     ts: str,
     months: int,
     skew: Skew = Skew(),
+    period: tuple[datetime, datetime] | None = None,
 ) -> DataFrame:
     """Facts of each cohort row in ``[start, start + months)``, with the cohort columns.
 
-    An inner join with the facts on the streamed side; the facts of a hot key are
-    spread over several tasks. ``sum_by_kind`` puts cohort rows without facts back and
-    shuffles by the whole cohort row, so nothing relies on this join's partitioning and
-    adaptive execution may split it further.
+    An inner join; ``sum_by_kind`` puts cohort rows without facts back. A missing key or time matches
+    nothing. The facts' key is compared as it is, so facts that are bucketed by it are not shuffled.
+    The cohort's is compared through a condition that is always true where it can match: that keeps a
+    filter out of the cohort's scan, whose shuffle can then serve ``sum_by_kind`` too.
+
+    Facts of hot keys do not meet in one task: they stay where they are read and join the few cohort
+    rows of those keys, at most ``skew.most`` keys, which are broadcast.
 
-    A missing key or time matches nothing: such facts are left out, after which the
-    null-safe comparison means plain equality. Plain equality would also filter the cohort's scan
-    for this join only, and its shuffle could then not serve ``sum_by_kind`` too.
+    ``period`` holds every start. Facts before it, or ``months`` and more after it, can match nothing
+    and are left out at the scan.
     """
+    if period is not None:
+        first, last = (moment(t) for t in period)
+        facts = facts.where((F.col(ts) >= first) & (F.col(ts) < months_later(last, months)))
+    facts = facts.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    bounded = cohort.withColumn("window_end", months_later(start, months)).withColumnRenamed(key, "cohort_key")
+    cohort_key = F.col("cohort_key")
+    in_window = (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col("window_end"))
+    same_key = F.col(key) == F.when(cohort_key.isNotNull(), cohort_key)
     hot = hot_keys(facts, key, skew)
-    bounded = (
-        copy_per_part(cohort, hot, key)
-        .withColumn("window_end", months_later(start, months))
-        .withColumnsRenamed({key: "cohort_key", "part": "cohort_part"})
-    )
-    in_window = (
-        F.col(key).eqNullSafe(F.col("cohort_key"))
-        & (F.col("part") == F.col("cohort_part"))
-        & (F.col(ts) >= F.col(start))
-        & (F.col(ts) < F.col("window_end"))
-    )
-    complete = facts.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
-    return (
-        give_part(complete, hot, key)
-        .join(bounded, in_window)
-        .drop("cohort_key", "cohort_part", "part", "window_end")
-    )
+    if not hot:
+        return facts.join(bounded, same_key & in_window).drop("cohort_key", "window_end")
+    usual = facts.where(~F.col(key).isin(hot)).join(bounded, same_key & in_window)
+    few = bounded.where(cohort_key.isin(hot))
+    apart = facts.where(F.col(key).isin(hot)).join(F.broadcast(few), (F.col(key) == cohort_key) & in_window)
+    return usual.unionByName(apart).drop("cohort_key", "window_end")
 
 
 def sum_by_kind(

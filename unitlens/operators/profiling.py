@@ -20,6 +20,11 @@ def side_by_side(*parts: DataFrame) -> DataFrame:
     return stacked.agg(*(F.max(name).alias(name) for name in stacked.columns))
 
 
+def table_schema(df: DataFrame) -> list[tuple[str, str, str]]:
+    """(name, type, declared nullability) of every column, from metadata alone."""
+    return [(f.name, f.dataType.simpleString(), "YES" if f.nullable else "NO") for f in df.schema.fields]
+
+
 def schema_overview(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Name, type and declared nullability of every column, with its NULL count.
 
@@ -32,12 +37,12 @@ def schema_overview(tables: Mapping[str, DataFrame]) -> DataFrame:
         described = [
             F.struct(
                 F.lit(position).alias("ordinal_position"),
-                F.lit(field.name).alias("column_name"),
-                F.lit(field.dataType.simpleString()).alias("data_type"),
-                F.lit("YES" if field.nullable else "NO").alias("is_nullable"),
-                F.col(field.name).alias("null_rows"),
+                F.lit(name).alias("column_name"),
+                F.lit(kind).alias("data_type"),
+                F.lit(nullable).alias("is_nullable"),
+                F.col(name).alias("null_rows"),
             )
-            for position, field in enumerate(df.schema.fields, start=1)
+            for position, (name, kind, nullable) in enumerate(table_schema(df), start=1)
         ]
         return counted.select(F.lit(label).alias("table_name"), F.inline(F.array(*described)))
 

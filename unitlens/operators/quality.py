@@ -34,9 +34,9 @@ def duplicate_profile(df: DataFrame, keys: Sequence[str], label: str) -> DataFra
         .agg(F.count("*").alias("rows_per_key"))
         .agg(
             F.count("*").alias("unique_keys"),
-            F.sum(n).alias("rows_total"),
+            F.coalesce(F.sum(n), F.lit(0)).alias("rows_total"),
             F.count_if(n > 1).alias("duplicated_keys"),
-            F.sum(n - 1).alias("duplicate_rows"),
+            F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicate_rows"),
         )
         .select(F.lit(label).alias("table_name"), "*")
     )
@@ -46,9 +46,12 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str], strict: bool = False)
     """Rows, distinct full-row keys and surplus rows.
 
     The default key joins the columns as text with ``|`` and skips NULLs, so
-    ``('a', NULL, 'b')`` equals ``('a', 'b', NULL)``. ``strict`` compares column by column.
+    ``('a', NULL, 'b')`` equals ``('a', 'b', NULL)``. The text is not shuffled, but two
+    64-bit hashes of it. ``strict`` compares column by column.
     """
-    key = F.struct(*columns) if strict else F.concat_ws("|", *columns)
+    text = F.concat_ws("|", *columns)
+    hashes = F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text))
+    key = F.struct(*columns) if strict else hashes
     counted = df.agg(
         F.count("*").alias("rows_total"), F.countDistinct(key).alias("unique_raw_keys")
     )
@@ -61,6 +64,23 @@ def rule_counts(df: DataFrame, rules: Mapping[str, Column], *extra: Column) -> D
     return df.agg(F.count("*").alias("rows_total"), *counts, *extra)
 
 
+def row_checks(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    """Rule counts, surplus rows and whether the table is empty, from one pass over distinct rows.
+
+    Equal rows meet the same rules, so rules are checked once per distinct row and count as often as
+    it occurs. Rows are compared column by column.
+    """
+    n = F.col("rows_per_key")
+    met = {name: F.coalesce(rule, F.lit(False)) for name, rule in rules.items()}
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("rows_per_key"))
+    counts = [F.coalesce(F.sum(F.when(rule, n)), F.lit(0)).alias(name) for name, rule in met.items()]
+    return counted.agg(
+        F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicate_rows"),
+        (F.count("*") == 0).cast("bigint").alias("empty_table"),
+        *counts,
+    )
+
+
 def value_stability(df: DataFrame, group: str, value: str, *extra: Column) -> DataFrame:
     return df.groupBy(group).agg(
         F.count("*").alias("rows_total"),

@@ -1,9 +1,4 @@
-"""Spread the rows of hot keys over several tasks of a join, exactly.
-
-Adaptive execution splits a skewed join partition only where it sees its size. With
-more than 2000 shuffle partitions map outputs report average block sizes by default,
-which hides a hot key, so the join is told about hot keys explicitly.
-"""
+"""Keys that hold many rows, found before a join so that it can treat them apart."""
 
 from __future__ import annotations
 
@@ -12,51 +7,37 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a sample that say something about a key's size.
+LEAST_COUNTED = 100
+
 
 @dataclass(frozen=True)
 class Skew:
-    """A key with about ``rows_per_task`` rows or more is cut into parts of that size.
+    """A key with about ``rows_per_task`` rows or more is hot; at most ``most`` keys are.
 
-    Keys are counted on a sample of their column. The sample only decides how many
-    parts a key gets: every row takes part in the join, and any number of parts gives
-    the same result.
+    Keys are counted on a sample of their column. The sample only decides which way a key's rows take
+    through the join: every row takes one of them, and both give the same result. Keys beyond ``most``
+    take the usual way, where adaptive execution splits them as it sees their size.
     """
 
     rows_per_task: int = 1_000_000
     fraction: float = 0.001
-
-
-def hot_keys(df: DataFrame, key: str, skew: Skew) -> DataFrame:
-    """Hot keys and their ``parts``; at most one per ``rows_per_task`` rows, so the list
-    may be broadcast: a trillion rows have no more than about a million hot keys."""
-    counted_per_task = max(1, round(skew.rows_per_task * skew.fraction))
-    return (
-        df.select(key)
-        .where(F.col(key).isNotNull())
-        .sample(skew.fraction, seed=1)
-        .groupBy(key)
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= counted_per_task)
-        .select(key, F.ceil(F.col("n") / counted_per_task).alias("parts"))
-    )
-
-
-def give_part(facts: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    """Add ``part``: 0, or for a hot key a part taken from the row and its input split.
-
-    The split spreads equal rows. A repeated task gives its rows the same parts again,
-    in whatever order it reads them.
-    """
-    chosen = F.pmod(F.xxhash64(F.spark_partition_id(), *facts.columns), F.col("parts"))
-    part = F.when(F.col("parts").isNotNull(), chosen).otherwise(F.lit(0).cast("bigint"))
-    return facts.join(F.broadcast(hot), key, "left").withColumn("part", part).drop("parts")
-
-
-def copy_per_part(dims: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    """Repeat the rows of a hot key once per part."""
-    last = F.coalesce(F.col("parts"), F.lit(1)) - 1
-    return (
-        dims.join(F.broadcast(hot), key, "left")
-        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-        .drop("parts")
-    )
+    most: int = 1000
+
+    def __post_init__(self):
+        if self.fraction < 1 and self.rows_per_task * self.fraction < LEAST_COUNTED:
+            raise ValueError(
+                f"a hot key would have {self.rows_per_task * self.fraction:g} sampled rows;"
+                f" at least {LEAST_COUNTED} are needed to tell it from others"
+            )
+
+
+def hot_keys(df: DataFrame, key: str, skew: Skew) -> list:
+    """The hottest keys, at most ``skew.most`` whatever the data. The list is read here, once, so
+    that all uses of it are the same."""
+    column = df.select(key).where(F.col(key).isNotNull())
+    if skew.fraction < 1:
+        column = column.sample(skew.fraction, seed=1)
+    counted = column.groupBy(key).agg(F.count("*").alias("n"))
+    hot = counted.where(F.col("n") >= skew.rows_per_task * skew.fraction).orderBy(F.desc("n"), key)
+    return [row[0] for row in hot.limit(skew.most).collect()]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from decimal import Decimal
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,14 +16,18 @@ def latest_snapshot(
 ) -> DataFrame:
     """Keep the row with the greatest ``order`` per key; rows without one come last.
 
+    A row whose key has a NULL belongs to no other row: it is kept by itself.
+
     Spark limits each key to one row before the shuffle as well as after it, so a
     hot key sends one row per task. ``tie_break`` makes the choice repeatable.
     """
-    newest_first = Window.partitionBy(*keys).orderBy(order.desc_nulls_last(), *tie_break)
+    incomplete = F.when(reduce(or_, [F.col(k).isNull() for k in keys]), F.monotonically_increasing_id())
+    newest_first = Window.partitionBy(*keys, "lone_row").orderBy(order.desc_nulls_last(), *tie_break)
     return (
-        df.withColumn("snapshot_rank", F.row_number().over(newest_first))
+        df.withColumn("lone_row", incomplete)
+        .withColumn("snapshot_rank", F.row_number().over(newest_first))
         .where("snapshot_rank = 1")
-        .drop("snapshot_rank")
+        .drop("snapshot_rank", "lone_row")
     )
 
 

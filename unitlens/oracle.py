@@ -56,13 +56,17 @@ ad AS (
   FROM line
 )"""
 
-LAST_ADS = """
+#: Only the one form of a load time counts.
+LOADED = """(CASE WHEN regexp_full_match(loaded, '[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}')
+  THEN TRY_CAST(loaded AS TIMESTAMP) END)"""
+
+LAST_ADS = f"""
 last_ad AS (
-  SELECT *, TRY_CAST(loaded AS TIMESTAMP) AS snapshot_ts
+  SELECT *, {LOADED} AS snapshot_ts
   FROM ad
   QUALIFY ROW_NUMBER() OVER (
     PARTITION BY ad_id, day
-    ORDER BY TRY_CAST(loaded AS TIMESTAMP) DESC NULLS LAST, spend DESC, impressions DESC,
+    ORDER BY {LOADED} DESC NULLS LAST, spend DESC, impressions DESC,
              clicks DESC, installs DESC, registrations DESC,
              source, campaign_id, adset_id) = 1
 )"""
@@ -249,7 +253,7 @@ _ROW_TEXT = """SELECT concat_ws('|', source, campaign_id, adset_id, ad_id, day,
                  clicks, installs, registrations, loaded) AS row_text FROM ad"""
 _USER_FLAGS = """SELECT user_id, bool_or(event_type = 'install') AS inst,
          bool_or(event_type = 'registration') AS reg,
-         bool_or(event_type NOT IN ('install', 'registration')) AS deep
+         bool_or(event_type IN ('like', 'match', 'message_sent', 'paywall_view')) AS deep
   FROM ev GROUP BY user_id"""
 _VERDICTS = "\nUNION ALL\n".join(
     [
@@ -281,7 +285,7 @@ _VERDICTS = "\nUNION ALL\n".join(
             "ad",
             {
                 **{f"null_{name}": f"{c} IS NULL" for name, c in _ADS_NAMES.items()},
-                "invalid_timestamp_rows": "TRY_CAST(loaded AS TIMESTAMP) IS NULL",
+                "invalid_timestamp_rows": f"{LOADED} IS NULL",
                 **{f"negative_{m}": f"{m} < 0" for m in MEASURES},
                 "clicks_gt_impressions": "clicks > impressions",
                 "installs_gt_clicks": "installs > clicks",
@@ -298,15 +302,22 @@ _VERDICTS = "\nUNION ALL\n".join(
         ),
         _zero_checks(
             "orders",
-            "(SELECT DISTINCT user_id FROM pay)",
-            {"paying_users_without_product_events": "user_id NOT IN (SELECT user_id FROM ev)"},
+            "(SELECT DISTINCT user_id FROM pay) payer",
+            {
+                "paying_users_without_product_events": "user_id IS NULL OR NOT EXISTS"
+                " (SELECT 1 FROM ev WHERE ev.user_id = payer.user_id)"
+            },
         ),
         """SELECT 'product_events', 'duplicate_rows',
        COUNT(*) - COUNT(DISTINCT (user_id, event_type, ts, channel)) FROM ev""",
         """SELECT 'orders', 'duplicate_rows',
        COUNT(*) - COUNT(DISTINCT (user_id, event, ts, amount)) FROM pay""",
         f"""SELECT 'marketing_ads_raw', 'duplicate_rows',
-       COUNT(*) - COUNT(DISTINCT row_text) FROM ({_ROW_TEXT})""",
+       COUNT(*) - COUNT(DISTINCT ({', '.join(_ADS_NAMES.values())})) FROM ad""",
+        *(
+            f"SELECT '{table}', 'empty_table', CAST(COUNT(*) = 0 AS BIGINT) FROM {relation}"
+            for table, relation in (("product_events", "ev"), ("orders", "pay"), ("marketing_ads_raw", "ad"))
+        ),
     ]
 )
 
@@ -374,13 +385,13 @@ FROM pay WHERE amount IS NOT NULL""",
        {_money("SUM(amount)")} AS total_revenue, {_AVG_AMOUNT} AS avg_order_value, {_MIN_MAX}
 FROM pay WHERE amount IS NOT NULL GROUP BY event""",
     "ads_overview": _with(ADS)
-    + """SELECT 'marketing_ads_raw' AS table_name, COUNT(*) AS rows_total,
+    + f"""SELECT 'marketing_ads_raw' AS table_name, COUNT(*) AS rows_total,
        COUNT(DISTINCT source) AS unique_sources, COUNT(DISTINCT campaign_id) AS unique_campaigns,
        COUNT(DISTINCT adset_id) AS unique_adsets, COUNT(DISTINCT ad_id) AS unique_ads,
        MIN(day) AS earliest_date, MAX(day) AS latest_date,
        CAST(MAX(day) - MIN(day) + 1 AS BIGINT) AS days_covered,
-       MIN(TRY_CAST(loaded AS TIMESTAMP)) AS earliest_timestamp,
-       MAX(TRY_CAST(loaded AS TIMESTAMP)) AS latest_timestamp
+       MIN({LOADED}) AS earliest_timestamp,
+       MAX({LOADED}) AS latest_timestamp
 FROM ad""",
     "dq_nulls": _with(PRODUCT, PAYMENTS)
     + _nulls(
@@ -448,6 +459,12 @@ FROM (SELECT DISTINCT user_id FROM pay) p""",
         "marketing_ads_raw",
         "ad",
     ),
+    "dq_ads_duplicates_strict": _with(ADS)
+    + f"""SELECT COUNT(*) AS rows_total, COUNT(DISTINCT ({', '.join(_ADS_NAMES.values())})) AS unique_raw_keys,
+       COUNT(*) - COUNT(DISTINCT ({', '.join(_ADS_NAMES.values())})) AS duplicate_rows FROM ad""",
+    "dq_multi_channel_users": _with(PRODUCT)
+    + """SELECT COUNT(*) AS users_total, COUNT(*) FILTER (WHERE n > 1) AS users_with_several_channels
+FROM (SELECT user_id, COUNT(DISTINCT channel) AS n FROM ev WHERE user_id IS NOT NULL GROUP BY user_id)""",
     "dq_ads_duplicates": _with(ADS)
     + """SELECT COUNT(*) AS rows_total, COUNT(DISTINCT row_text) AS unique_raw_keys,
        COUNT(*) - COUNT(DISTINCT row_text) AS duplicate_rows
@@ -455,9 +472,9 @@ FROM ("""
     + _ROW_TEXT
     + ")",
     "dq_ads_timestamp": _with(ADS)
-    + """SELECT COUNT(*) AS rows_total, COUNT(*) FILTER (WHERE t IS NULL) AS invalid_timestamp_rows,
+    + f"""SELECT COUNT(*) AS rows_total, COUNT(*) FILTER (WHERE t IS NULL) AS invalid_timestamp_rows,
        MIN(t) AS earliest_timestamp, MAX(t) AS latest_timestamp
-FROM (SELECT TRY_CAST(loaded AS TIMESTAMP) AS t FROM ad)""",
+FROM (SELECT {LOADED} AS t FROM ad)""",
     "dq_ads_metric_validity": _with(ADS)
     + "SELECT COUNT(*) AS rows_total, "
     + ", ".join(f"COUNT(*) FILTER (WHERE {m} < 0) AS negative_{m}" for m in MEASURES)

@@ -8,7 +8,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitlens.functions import as_money, ratio, rounded
+from unitlens.functions import as_money, load_time, ratio, rounded
 from unitlens.operators.comparison import period_change, previous_value
 from unitlens.operators.snapshots import latest_snapshot, rescale
 from unitlens.plans.data_quality import MEASURES
@@ -33,7 +33,7 @@ def latest_ads(
     """
     columns = dict.fromkeys([*describe, *keys, *MEASURES])
     with_time = ads.select(
-        *columns, F.col("timestamp").try_cast("timestamp_ntz").alias("snapshot_ts")
+        *columns, load_time().alias("snapshot_ts")
     )
     ties = [F.desc(m) for m in MEASURES] + [F.asc(c) for c in describe]
     return latest_snapshot(with_time, keys, F.col("snapshot_ts"), ties)

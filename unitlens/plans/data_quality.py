@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitlens.functions import as_money, mean
+from unitlens.functions import as_money, load_time, mean
 from unitlens.operators.profiling import stack_rows
 from unitlens.operators.quality import (
     duplicate_profile,
@@ -15,6 +15,7 @@ from unitlens.operators.quality import (
     orphan_count,
     period_overhang,
     presence_flags,
+    row_checks,
     rule_counts,
     value_stability,
     verdicts,
@@ -24,6 +25,7 @@ from unitlens.operators.quality import (
 DEEPER_EVENTS = ["like", "match", "message_sent", "paywall_view"]
 VERY_HIGH_AMOUNT = 999
 
+# The columns of the ads table.
 ADS_COLUMNS = [
     "source",
     "campaign_id",
@@ -90,12 +92,8 @@ def _amount_rules(very_high: int = VERY_HIGH_AMOUNT) -> dict[str, Column]:
     }
 
 
-def _load_time() -> Column:
-    return F.col("timestamp").try_cast("timestamp_ntz")
-
-
 def _time_rules() -> dict[str, Column]:
-    return {"invalid_timestamp_rows": _load_time().isNull()}
+    return {"invalid_timestamp_rows": load_time().isNull()}
 
 
 def _negative_rules() -> dict[str, Column]:
@@ -176,12 +174,28 @@ def dq_ads_duplicates(ads: DataFrame, strict: bool = False) -> DataFrame:
     return duplicate_rows(ads, ADS_COLUMNS, strict)
 
 
+def dq_ads_duplicates_strict(ads: DataFrame) -> DataFrame:
+    return duplicate_rows(ads, ADS_COLUMNS, strict=True)
+
+
+def dq_multi_channel_users(product_events: DataFrame) -> DataFrame:
+    """Users with events, and those among them whose events name several channels; such a user
+    counts once in each channel's cohort."""
+    per_user = product_events.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(
+        F.min("channel").alias("low"), F.max("channel").alias("high")
+    )
+    return per_user.agg(
+        F.count("*").alias("users_total"),
+        F.count_if(F.col("low") < F.col("high")).alias("users_with_several_channels"),
+    )
+
+
 def dq_ads_timestamp(ads: DataFrame) -> DataFrame:
     return rule_counts(
         ads,
         _time_rules(),
-        F.min(_load_time()).alias("earliest_timestamp"),
-        F.max(_load_time()).alias("latest_timestamp"),
+        F.min(load_time()).alias("earliest_timestamp"),
+        F.max(load_time()).alias("latest_timestamp"),
     )
 
 
@@ -206,29 +220,29 @@ def dq_snapshot_structure(ads: DataFrame) -> DataFrame:
 
 
 def dq_verdicts(product_events: DataFrame, orders: DataFrame, ads: DataFrame) -> DataFrame:
-    """All checks whose count should be 0. Rules on single rows take one scan per table."""
+    """All checks whose count should be 0, an empty table among them. Rules on single rows and
+    duplicates come from one pass over each table."""
 
-    def rules(df: DataFrame, name: str, rules: dict[str, Column]) -> DataFrame:
-        return zeros(rule_counts(df, rules), F.lit(name), *rules)
+    def rows(df: DataFrame, name: str, rules: dict[str, Column]) -> DataFrame:
+        return zeros(row_checks(df, rules), F.lit(name), "empty_table", "duplicate_rows", *rules)
 
     def zeros(result: DataFrame, subject: Column, *checks: str) -> DataFrame:
         return verdicts(result, subject, dict.fromkeys(checks, 0))
 
-    raw = "marketing_ads_raw"
     return stack_rows(
-        rules(
-            product_events,
+        rows(
+            product_events.select("user_id", "event_type", "timestamp", "channel"),
             "product_events",
             _null_rules(["user_id", "event_type", "timestamp", "channel"]),
         ),
-        rules(
-            orders,
+        rows(
+            orders.select("user_id", "event", "timestamp", "amount"),
             "orders",
             {**_null_rules(["user_id", "event", "timestamp"]), **_amount_rules()},
         ),
-        rules(
-            ads,
-            raw,
+        rows(
+            ads.select(*ADS_COLUMNS),
+            "marketing_ads_raw",
             {
                 **_null_rules(ADS_COLUMNS),
                 **_time_rules(),
@@ -236,8 +250,6 @@ def dq_verdicts(product_events: DataFrame, orders: DataFrame, ads: DataFrame) ->
                 **_ads_funnel_rules(),
             },
         ),
-        zeros(dq_duplicates(product_events, orders), F.col("table_name"), "duplicate_rows"),
-        zeros(dq_ads_duplicates(ads), F.lit(raw), "duplicate_rows"),
         zeros(
             dq_funnel(product_events),
             F.lit("product_events"),

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import datetime, time, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from unitlens.functions import as_money, ratio, rounded
+from unitlens.operators.cohorts import moment
 from unitlens.operators.comparison import reconcile, share_of_total
 from unitlens.operators.funnels import Step, chain, funnel
 from unitlens.operators.profiling import coverage, side_by_side, stack_rows
@@ -30,15 +32,19 @@ EXPECTED_SPEND = {"tiktok": 15000, "meta": 50000, "google": 15000}
 BREAK_EVEN = 1
 
 
-def dedup_check(ads: DataFrame) -> DataFrame:
+def violating_ad_days(ads: DataFrame) -> DataFrame:
+    """Ad-days with more than one row, which a deduplicated table must not have."""
     return (
-        latest_by_source(ads)
-        .groupBy(*AD_DAY)
+        ads.groupBy(*AD_DAY)
         .agg(F.count("*").alias("n"))
         .agg(F.count_if(F.col("n") > 1).alias("violating_ad_days"))
     )
 
 
+def dedup_check(ads: DataFrame) -> DataFrame:
+    return violating_ad_days(latest_by_source(ads))
+
+
 def coverage_three_sources(
     product_events: DataFrame, orders: DataFrame, ads: DataFrame
 ) -> DataFrame:
@@ -95,16 +101,19 @@ def registration_reconciliation_shared_period(
 ) -> DataFrame:
     """The same over the days that both sources cover."""
 
-    def days(df: DataFrame, ts: str):
-        day = F.to_date(ts)
-        return df.agg(F.struct(F.min(day).alias("first"), F.max(day).alias("last"))).scalar()
+    def days(df: DataFrame, ts: str) -> tuple:
+        return tuple(df.agg(F.min(ts).cast("date"), F.max(ts).cast("date")).first())
 
     product, marketing = days(product_events, "timestamp"), days(ads, "date")
-    first = F.greatest(product.getField("first"), marketing.getField("first"))
-    last = F.least(product.getField("last"), marketing.getField("last"))
+    if None in product + marketing:
+        return _reconcile_registrations(product_events.where("false"), ads.where("false"))
+    first, last = max(product[0], marketing[0]), min(product[1], marketing[1])
+    # Constants on the stored columns, which reach the scans.
+    after = moment(datetime.combine(last, time()) + timedelta(days=1))
+    ts = F.col("timestamp")
     return _reconcile_registrations(
-        product_events.where(F.to_date("timestamp").between(first, last)),
-        ads.where(F.col("date").between(first, last)),
+        product_events.where((ts >= moment(datetime.combine(first, time()))) & (ts < after)),
+        ads.where(F.col("date").between(F.lit(first), F.lit(last))),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitlens.functions import as_money, mean, ratio
+from unitlens.functions import as_money, load_time, mean, ratio
 from unitlens.operators.profiling import (
     coverage,
     days_spanned,
@@ -134,7 +134,7 @@ def ads_overview(ads: DataFrame) -> DataFrame:
     """Four distinct counts would expand every row five times, so the rows are first
     reduced to the distinct combinations of the ad hierarchy."""
     hierarchy = ["source", "campaign_id", "adset_id", "ad_id"]
-    loaded_at = F.col("timestamp").try_cast("timestamp_ntz")
+    loaded_at = load_time()
     per_ad = ads.groupBy(*hierarchy).agg(
         F.count("*").alias("n"),
         F.min("date").alias("first_date"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +33,23 @@ def registrations(product_events: DataFrame) -> DataFrame:
     )
 
 
+def registration_period(product_events: DataFrame) -> tuple[datetime, datetime] | None:
+    """First and last registration on record, read here; no user's first registration lies outside."""
+    registered = product_events.where(F.col("event_type") == "registration")
+    first, last = registered.agg(F.min("timestamp"), F.max("timestamp")).first()
+    return None if first is None else (first, last)
+
+
 def user_monetization(
-    cohort: DataFrame, orders: DataFrame, months: int = WINDOW_MONTHS, skew: Skew = Skew()
+    cohort: DataFrame,
+    orders: DataFrame,
+    months: int = WINDOW_MONTHS,
+    skew: Skew = Skew(),
+    period: tuple[datetime, datetime] | None = None,
 ) -> DataFrame:
     """Payments of every registered user in the window; users without any have zeros."""
     paid = cohort_window_join(
-        cohort, orders, "user_id", "registration_ts", "timestamp", months, skew
+        cohort, orders, "user_id", "registration_ts", "timestamp", months, skew, period
     )
     return sum_by_kind(cohort, paid, "event", "amount", PAYMENT_KINDS)
 
@@ -65,7 +78,8 @@ def channel_components(
     skew: Skew = Skew(),
 ) -> DataFrame:
     cohort = registrations(product_events)
-    return sum_users(user_monetization(cohort, orders, months, skew), "channel")
+    per_user = user_monetization(cohort, orders, months, skew, registration_period(product_events))
+    return sum_users(per_user, "channel")
 
 
 class LtvTerms:
@@ -157,7 +171,8 @@ def matured_cohort_ltv(product_events: DataFrame, orders: DataFrame) -> DataFram
     cohort = registrations(product_events)
     last_payment = orders.agg(F.max("timestamp")).scalar()
     full_window = months_later("registration_ts", WINDOW_MONTHS) <= last_payment
-    per_user = user_monetization(cohort, orders).withColumn(
+    period = registration_period(product_events)
+    per_user = user_monetization(cohort, orders, period=period).withColumn(
         "matured", F.coalesce(full_window, F.lit(False))
     )
     t = LtvTerms()

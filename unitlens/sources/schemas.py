@@ -47,3 +47,11 @@ MARKETING_ADS_RAW = StructType(
         StructField("timestamp", StringType()),
     ]
 )
+
+
+def with_ids(schema: StructType, kind: str) -> StructType:
+    """``schema`` with ids of type ``bigint`` or ``string``; ids are only ever compared."""
+    kinds = {"bigint": LongType(), "string": StringType()}
+    return StructType(
+        [StructField(f.name, kinds[kind] if f.name.endswith("_id") else f.dataType) for f in schema]
+    )
