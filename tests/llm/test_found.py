@@ -259,7 +259,8 @@ def test_gradients():
         z = net.logits(ids, first).astype(np.float64)
         return float(np.mean(np.log1p(np.exp(z)) - label * z))
 
-    grads, _ = net.gradients(ids, first, label)
+    grads, _, loss_ = net.gradients(ids, first, label)
+    assert loss_ == pytest.approx(loss(), rel=1e-6)
     for value, grad in zip(net.parameters(), grads):
         for at in [np.unravel_index(k, grad.shape) for k in np.argsort(-np.abs(grad), axis=None)[:4]]:
             kept = value[at]
