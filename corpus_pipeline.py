@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from unitlens.llm.decontamination import contaminated
 from unitlens.llm.language_id import learn
 from unitlens.llm.mixing import mix_sources
-from unitlens.llm.ngram_join import ngram_join
+from unitlens.llm.ngram_join import Jaccard, ngram_join
 from unitlens.llm.scratch import ship_package, written
 from unitlens.llm.token_output import Tokenizer, pack
 
 
+#: Near copies share four fifths of their runs of five words; op4's rule is stricter and its own.
+NEAR = Jaccard(width=5, percent=80)
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with the rows' numbers in the scan, as the operators count them, in a column of a new name."""
     name = "rid"
@@ -32,10 +36,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies (NEAR): the one with the smallest id."""
     ship_package(spark)
     rows, rid = numbered(docs)
-    kept = ngram_join(docs).where("first").select(F.col("rid").alias(rid))
+    kept = ngram_join(docs, rule=NEAR).where("first").select(F.col("rid").alias(rid))
     return rows.join(kept, rid, "left_semi").select(*docs.columns)
 
 
