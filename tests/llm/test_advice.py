@@ -9,6 +9,7 @@ import brute
 import pytest
 
 import corpus_pipeline
+from unitlens.llm.decontamination import contaminated
 from unitlens.llm.ngram_join import ngram_join
 from unitlens.llm.scratch import ship_package, written
 
@@ -45,3 +46,17 @@ def test_near_copies_at_five_words_and_four_fifths(spark):
     kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, MIDDLE).collect()}
     assert kept == firsts
     assert len(kept) < ngram_join(docs).where("first").count()
+
+
+def test_cut_passages_behind_empty_texts(spark):
+    """Documents that open with an item without its first k characters, after texts of no character."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{MIDDLE}/benchmark.parquet").orderBy("item_id").limit(12).collect()]
+    table, want = [], set()
+    for n, (i, x) in enumerate(items):
+        cut = (0, 1, 4, 9, 15)[n % 5]
+        table += [(-1, t) for t in (None, "", "a", None, "", "")[: n % 6 + 1]]
+        table.append((n, x[cut:]))
+        want.add((n, i))
+    docs = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
+    found = contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want

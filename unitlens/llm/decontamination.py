@@ -144,17 +144,18 @@ class Index:
                 at += moves[step][shown]
             yield from map(mix, keys)
 
-    def hits(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items and the places where they would begin."""
-        items, begins = [], []
+    def hits(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items, the places where they would begin, and the windows that say so, as places in ``starts``."""
+        items, begins, windows = [], [], []
         for keys, own, item, offset, bits in zip(self.walk(symbols, starts), self.keys, self.owner, self.offset, self.present):
             maybe = np.flatnonzero(bits[(keys >> np.uint64(44)).astype(np.int64)])
             lo, hi = (np.searchsorted(own, keys[maybe], side) for side in ("left", "right"))
             n = hi - lo
             entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             items.append(item[entry])
-            begins.append(starts[np.repeat(maybe, n)] - offset[entry])
-        return np.concatenate(items), np.concatenate(begins)
+            windows.append(np.repeat(maybe, n))
+            begins.append(starts[windows[-1]] - offset[entry])
+        return np.concatenate(items), np.concatenate(begins), np.concatenate(windows)
 
 
 def nearest(pattern: str, text: str, most: int) -> tuple[int, int] | None:
@@ -192,14 +193,14 @@ def found(index: Index, id_type: pa.DataType):
                 starts = bounds[row] + index.stride * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
                 items, begins, rows = [], [], []
                 for lo in range(0, len(starts), 1 << 17):
-                    item, begin = index.hits(symbols, starts[lo : lo + (1 << 17)])
+                    item, begin, window = index.hits(symbols, starts[lo : lo + (1 << 17)])
                     items.append(item)
                     begins.append(begin)
+                    rows.append(row[lo + window])
                 if not items:
                     continue
-                item, begin = np.concatenate(items), np.concatenate(begins)
-                row = np.clip(np.searchsorted(bounds, np.maximum(begin, 0), "right") - 1, 0, len(texts) - 1)
-                # A walk may begin before its text does; the text of the window itself is the next one.
+                item, begin, row = (np.concatenate(x) for x in (items, begins, rows))
+                # The window's own text is searched: the item itself may seem to begin before it.
                 tried = set(zip(row.tolist(), item.tolist(), (begin // 32).tolist()))
                 best: dict[tuple[int, int], tuple[int, int, int]] = {}
                 for r, i, near in sorted(tried):
@@ -207,18 +208,17 @@ def found(index: Index, id_type: pa.DataType):
                     if (r, i) in best and best[r, i][0] == 0:
                         continue
                     most = int(index.search.most * len(pattern))
-                    for own in {r, min(r + 1, len(texts) - 1)}:
-                        lo = max(bounds[own], near * 32 - most - 32)
-                        hi = min(bounds[own + 1], near * 32 + 32 + len(pattern) + most + 32)
-                        if hi - lo < len(pattern) - most:
-                            continue
-                        part = "".join(map(chr, points[lo:hi]))
-                        match = nearest(pattern, part, most)
-                        if match is None or (own, i) in best and best[own, i][0] <= match[0]:
-                            continue
-                        back = nearest(pattern[::-1], part[: match[1]][::-1], match[0])
-                        first = lo + match[1] - (back[1] if back else len(pattern))
-                        best[own, i] = match[0], int(place[first]), int(place[lo + match[1] - 1]) + 1
+                    lo = max(bounds[r], near * 32 - most - 32)
+                    hi = min(bounds[r + 1], near * 32 + 32 + len(pattern) + most + 32)
+                    if hi - lo < len(pattern) - most:
+                        continue
+                    part = "".join(map(chr, points[lo:hi]))
+                    match = nearest(pattern, part, most)
+                    if match is None or (r, i) in best and best[r, i][0] <= match[0]:
+                        continue
+                    back = nearest(pattern[::-1], part[: match[1]][::-1], match[0])
+                    first = lo + match[1] - (back[1] if back else len(pattern))
+                    best[r, i] = match[0], int(place[first]), int(place[lo + match[1] - 1]) + 1
                 out += [(a + r, i, *x) for (r, i), x in best.items()]
             if out:
                 rows, items, distance, start, stop = zip(*out)
