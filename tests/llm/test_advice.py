@@ -60,3 +60,29 @@ def test_cut_passages_behind_empty_texts(spark):
     docs = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
     found = contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
+def test_passages_up_to_a_fifth_of_edits(spark):
+    """Items of all lengths in one block, each copied with edits at random places."""
+    rng = random.Random(11)
+    letters = "eeeetttaaaooinnssrhhldcumfpg"
+    prose = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n))[:n].strip()
+
+    def edited(text, n):
+        out = list(text)
+        for k in rng.sample(range(len(text)), n):
+            out[k] = rng.choice(["", out[k] + rng.choice(letters), rng.choice(letters)])
+        return "".join(out)
+
+    sizes, rates, each = (16, 32, 60, 120, 300), (0.1, 0.15, 0.2), 40
+    items = [(k, prose(sizes[k // each])) for k in range(each * len(sizes))]
+    table = []
+    for n, rate in enumerate(rates):
+        for k, x in items:
+            table.append((1000 * n + k, f"{prose(90 + k % 17)} {edited(x, int(rate * len(x)))} {prose(60)}"))
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for n in range(len(rates)):
+        for size in range(len(sizes)):
+            own = range(each * size, each * (size + 1))
+            assert sum((1000 * n + k, k) in got for k in own) >= 0.9 * each, (rates[n], sizes[size])
