@@ -7,8 +7,10 @@ from itertools import combinations
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from unitlens.llm import language_id
 from unitlens.llm.decontamination import contaminated
 from unitlens.llm.ngram_join import ngram_join
 from unitlens.llm.scratch import ship_package, written
@@ -86,3 +88,13 @@ def test_passages_up_to_a_fifth_of_edits(spark):
         for size in range(len(sizes)):
             own = range(each * size, each * (size + 1))
             assert sum((1000 * n + k, k) in got for k in own) >= 0.9 * each, (rates[n], sizes[size])
+
+
+@pytest.mark.parametrize("left_out", ["es", "de"])
+def test_texts_in_an_unlearned_language_are_rejected(spark, left_out):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "text", "lang")
+    truth = docs.toPandas().set_index("doc_id")["lang"]
+    learned = docs.withColumn("lang", F.when(F.col("lang") != left_out, F.col("lang")))
+    rejected = language_id.identify(learned).toPandas().set_index("doc_id")["rejected"][truth.index]
+    assert rejected[truth == left_out].mean() >= 0.98
+    assert not rejected[truth != left_out].any()

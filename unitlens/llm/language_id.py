@@ -16,16 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitlens.llm.scratch import written
 from unitlens.llm.text import chunks
 
 BITS = 6
 OTHER, EDGE = 0, 63
 MASKS = {n: (1 << BITS * n) - 1 for n in (1, 2, 3)}
 MAX_LANGUAGES = 64
-#: Cross-entropy counts as strange beyond the quantile of the training documents, times the slack, and
-#: never below a share of what equally likely characters would have: a small training table says little.
-REJECT_QUANTILE, REJECT_SLACK, REJECT_LEAST = 0.999, 1.2, 0.75 * 6 * float(np.log(2))
+#: A text is strange beyond the quantile of the training documents, each scored by a model of the half that it
+#: is not in, times the slack.
+REJECT_QUANTILE, REJECT_SLACK = 0.999, 1.1
 UNDETERMINED = "und"
 
 
@@ -63,23 +62,25 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Four-gram counts by language of a task's documents; each language's list has a bounded length."""
-    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    """Four-gram counts by language and half of a task's documents; each list has a bounded length."""
+    found: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         for a, b in chunks(batch.column(0)):
             texts = np.array(batch.column(0)[a:b].to_pylist(), object)
             langs = np.array(batch.column(1)[a:b].to_pylist(), object)
-            for lang in set(langs):
-                codes, _ = four_grams(texts[langs == lang].tolist())
-                parts = found.setdefault(lang, [])
+            halves = batch.column(2)[a:b].to_numpy()
+            for lang, half in set(zip(langs, halves.tolist())):
+                codes, _ = four_grams(texts[(langs == lang) & (halves == half)].tolist())
+                parts = found.setdefault((lang, half), [])
                 parts.append(np.unique(codes, return_counts=True))
                 if len(parts) > 8:
-                    found[lang] = [merged(parts)]
-    for lang, parts in found.items():
+                    found[lang, half] = [merged(parts)]
+    for (lang, half), parts in found.items():
         codes, counts = merged(parts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int32()), pa.array(counts, pa.int64())],
-            ["lang", "code", "n"],
+            [pa.array([lang] * len(codes), pa.string()), pa.array([half] * len(codes), pa.int32())]
+            + [pa.array(codes, pa.int32()), pa.array(counts, pa.int64())],
+            ["lang", "half", "code", "n"],
         )
 
 
@@ -146,21 +147,17 @@ class Model:
         return -sums / np.maximum(n, 1)[:, None], n
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
-    """Models of the languages in the labelled rows of ``docs``; None without any labelled text."""
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counted = (
-        rows.mapInArrow(count_batches, "lang string, code int, n long")
-        .groupBy("lang", "code")
-        .agg(F.sum("n").alias("n"))
-    )
-    # At most MAX_LANGUAGES * 2**24 rows whatever the corpus; texts of one script have far fewer.
-    table: pd.DataFrame = counted.toPandas().sort_values(["lang", "code"])
+def half_of(text: Column) -> Column:
+    """0 or 1; equal texts are in the same half."""
+    return F.pmod(F.xxhash64(F.lit(9), text), F.lit(2)).cast("int")
+
+
+def model_of(table: pd.DataFrame) -> Model | None:
+    """Models of the languages in a table of counts (lang, code, n); None without any."""
+    table = table.groupby(["lang", "code"], as_index=False)["n"].sum().sort_values(["lang", "code"])
     languages = sorted(table["lang"].unique())
     if not languages:
         return None
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} are supported")
     union = np.unique(table["code"].to_numpy(np.int32))
     each = []
     for language in languages:
@@ -169,6 +166,24 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | None
     return Model(languages, union, *(np.stack(x, 1) for x in zip(*each)))
 
 
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[Model | None, list[Model | None]]:
+    """Models of the languages in the labelled rows of ``docs``, and those without each half of them; None
+    without any labelled text."""
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), half_of(F.col(text)).alias("half"))
+    counted = (
+        rows.where("text IS NOT NULL AND lang IS NOT NULL")
+        .mapInArrow(count_batches, "lang string, half int, code int, n long")
+        .groupBy("lang", "half", "code")
+        .agg(F.sum("n").alias("n"))
+    )
+    # At most 2 * MAX_LANGUAGES * 2**24 rows whatever the corpus; texts of one script have far fewer.
+    table: pd.DataFrame = counted.toPandas()
+    many = table["lang"].nunique()
+    if many > MAX_LANGUAGES:
+        raise ValueError(f"{many} languages; at most {MAX_LANGUAGES} are supported")
+    return model_of(table), [model_of(table[table["half"] != half]) for half in (0, 1)]
+
+
 def lettered(text: str | None) -> bool:
     points = np.frombuffer((text or "").replace("\0", " ").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     return bool(classes()[points].any())
@@ -176,7 +191,11 @@ def lettered(text: str | None) -> bool:
 
 @dataclass
 class Identifier:
-    """Models and, by language, the cross-entropy beyond which a text is rejected."""
+    """Models and, by language, the strangeness beyond which a text is rejected.
+
+    Strangeness is the cross-entropy over 1 + 1 / sqrt(four-grams): the mean of few varies more, so a
+    limit for it is a higher limit of cross-entropy for a short text.
+    """
 
     model: Model | None
     limits: dict[str, float]
@@ -189,19 +208,22 @@ class Identifier:
     def chunk(self, texts: list[str | None]) -> pd.DataFrame:
         some = np.array([self.model is not None and lettered(t) for t in texts], bool)
         lang, score, lowest = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts)), np.full(len(texts), np.nan)
+        strange = np.full(len(texts), np.nan)
         if some.any():
             entropy, n = self.model.cross_entropies([t for t, own in zip(texts, some) if own])
             gap = (entropy - entropy.min(1)[:, None]) * np.minimum(n, 100)[:, None]
             lang[some] = np.array(self.model.languages, object)[entropy.argmin(1)]
             score[some], lowest[some] = 1 / np.exp(-gap).sum(1), entropy.min(1)
+            strange[some] = entropy.min(1) / (1 + 1 / np.sqrt(np.maximum(n, 1)))
         limit = np.array([self.limits.get(name, np.inf) for name in lang], float)
-        rejected = ~some | (np.nan_to_num(lowest) > limit)
-        return pd.DataFrame({"lang_pred": lang, "score": score, "cross_entropy": lowest, "rejected": rejected})
+        rejected = ~some | (np.nan_to_num(strange) > limit)
+        columns = {"lang_pred": lang, "score": score, "cross_entropy": lowest, "strangeness": strange, "rejected": rejected}
+        return pd.DataFrame(columns)
 
     def column(self):
         """A vectorised function from texts to the prediction."""
 
-        @F.pandas_udf("struct<lang_pred: string, score: double, cross_entropy: double, rejected: boolean>")
+        @F.pandas_udf("struct<lang_pred: string, score: double, cross_entropy: double, strangeness: double, rejected: boolean>")
         def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for series in texts:
                 yield self.predict(pa.Array.from_pandas(series, type=pa.large_string()))
@@ -229,21 +251,34 @@ def labelled(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     return base.withColumn("held_out", held_out(F.col("doc_id")))
 
 
-def judged(docs: DataFrame, doc_id: str, text: str, lang: str) -> tuple[Identifier, DataFrame]:
-    """An identifier learned from ``docs``, and its answers before any rejection."""
-    base = labelled(docs, doc_id, text, lang)
-    first = Identifier(fit(base.where(~F.col("held_out"))), {})
-    scored = base.select("doc_id", "lang", "held_out", first.column()(F.col("text")).alias("p"))
-    scored = written(scored.select("doc_id", "lang", "held_out", "p.*"))
-    right = scored.where(~F.col("held_out") & (F.col("lang") == F.col("lang_pred")))
-    quantile = F.percentile_approx("cross_entropy", REJECT_QUANTILE, 1000)
-    limits = right.groupBy("lang_pred").agg(quantile.alias("q")).collect()  # at most MAX_LANGUAGES rows
-    return Identifier(first.model, {row["lang_pred"]: max(row["q"] * REJECT_SLACK, REJECT_LEAST) for row in limits}), scored
+def other_half(models: list[Model | None]):
+    """A vectorised function from texts and their halves to language and strangeness by the models without them."""
+
+    @F.pandas_udf("struct<lang: string, strangeness: double>")
+    def judge(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        own = [Identifier(model, {}) for model in models]
+        for texts, halves in parts:
+            lang, strange = np.full(len(texts), None, object), np.full(len(texts), np.nan)
+            for half in (0, 1):
+                at = np.flatnonzero(halves.to_numpy() == half)
+                if len(at):
+                    found = own[half].predict(pa.Array.from_pandas(texts.iloc[at], type=pa.large_string()))
+                    lang[at], strange[at] = found["lang_pred"], found["strangeness"]
+            yield pd.DataFrame({"lang": lang, "strangeness": strange})
+
+    return judge
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Identifier:
     """The identifier that ``identify`` uses on the same documents."""
-    return judged(docs, doc_id, text, lang)[0]
+    base = labelled(docs, doc_id, text, lang)
+    train = base.where("NOT held_out AND text IS NOT NULL AND lang IS NOT NULL")
+    model, without = fit(train)
+    crossed = train.select("lang", other_half(without)(F.col("text"), half_of(F.col("text"))).alias("p"))
+    right = crossed.where(F.col("lang") == F.col("p.lang"))
+    quantile = F.percentile_approx("p.strangeness", REJECT_QUANTILE, 1000)
+    limits = right.groupBy("lang").agg(quantile.alias("q")).collect()  # at most MAX_LANGUAGES rows
+    return Identifier(model, {row["lang"]: row["q"] * REJECT_SLACK for row in limits})
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -251,17 +286,13 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
     The models learn from the rows with text and language that are not held out. A text that is null
     or has no letter is ``und`` with score 0 and rejected, and so is everything if no row is labelled.
-    ``rejected`` is also true for a text whose cross-entropy lies beyond REJECT_QUANTILE of its
-    language's training documents, times REJECT_SLACK, and REJECT_LEAST; ``lang_pred`` still names the
-    closest language.
+    ``rejected`` is also true for a text whose strangeness (see Identifier) lies beyond REJECT_QUANTILE
+    of its language's training documents, each scored without the half of the documents it is in, times
+    REJECT_SLACK; ``lang_pred`` still names the closest language. A language whose training texts are
+    all in one half has no limit.
     Rows without doc_id are training rows. Repeated rows get the same answer, an empty table gives no
     rows, and other columns are not touched.
     """
-    identifier, scored = judged(docs, doc_id, text, lang)
-    limit = F.lit(None).cast("double")
-    for language, most in identifier.limits.items():
-        limit = F.when(F.col("lang_pred") == language, F.lit(most)).otherwise(limit)
-    rejected = F.col("rejected") | F.coalesce(F.col("cross_entropy") > limit, F.lit(False))
-    return scored.withColumn("rejected", rejected).select(
-        "doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"
-    )
+    answer = learn(docs, doc_id, text, lang).column()
+    scored = labelled(docs, doc_id, text, lang).select("doc_id", "held_out", answer(F.col("text")).alias("p"))
+    return scored.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.cross_entropy", "p.rejected")
