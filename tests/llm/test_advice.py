@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from unitlens.llm import language_id
 from unitlens.llm.decontamination import contaminated
+from unitlens.llm.line_dedup import RADIUS, described
 from unitlens.llm.ngram_join import ngram_join
 from unitlens.llm.scratch import ship_package, written
 
@@ -98,3 +99,12 @@ def test_texts_in_an_unlearned_language_are_rejected(spark, left_out):
     rejected = language_id.identify(learned).toPandas().set_index("doc_id")["rejected"][truth.index]
     assert rejected[truth == left_out].mean() >= 0.98
     assert not rejected[truth != left_out].any()
+
+
+def test_long_lines_that_differ_in_a_word(spark):
+    rng = random.Random(4)
+    long = [rng.choice("abcdefghijklmnop") for _ in range(33_000)]
+    other = [*long[:500], "z", *long[501:]]
+    docs = spark.createDataFrame([(" ".join(long),), (" ".join(other),)], "line string")
+    a, b = (r.sim for r in docs.select(described(F.col("line"))["sim"].alias("sim")).collect())
+    assert ((a ^ b) & (1 << 64) - 1).bit_count() <= RADIUS
