@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from unitlens.llm.decontamination import contaminated
 from unitlens.llm.language_id import identify
 from unitlens.llm.line_dedup import line_dedup
+from unitlens.llm.merkle_manifest import folded, leaf, manifest, proof
 from unitlens.llm.mixing import mix_sources
 from unitlens.llm.ngram_join import ngram_join
 from unitlens.llm.oracle import ORACLE as ORACLE
@@ -76,6 +77,19 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    odd = F.crc32(F.col("doc_id").cast("string")) % 2 == 1
+    tampered = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    values = [F.col(c) for c in columns[:-1]]
+    shown = F.when(F.coalesce(odd, F.lit(True)), leaf(*values, F.col("text"))).otherwise(leaf(*values, tampered))
+    rows = manifest(table(spark, folder, "documents").select(*columns), columns, claimed=shown)
+    folds = rows.withColumn("folded_root", folded(F.col("claimed"), F.col("path")))
+    return folds.select(
+        "doc_id", "leaf", "subroot", "root", proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,5 +100,5 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: shipped(f) for f in (op1_quality_rules, op2_source_mixing, op3_token_output, op4_ngram_jaccard_join, op5_decontamination, op6_line_dedup, op7_suffix_dedup, op8_substring_dedup, op9_language_id, op10_toxicity)
+    f.__name__: shipped(f) for f in (op1_quality_rules, op2_source_mixing, op3_token_output, op4_ngram_jaccard_join, op5_decontamination, op6_line_dedup, op7_suffix_dedup, op8_substring_dedup, op9_language_id, op10_toxicity, op11_merkle_manifest)
 }
