@@ -15,8 +15,10 @@ from unitlens.llm.merkle_manifest import folded, leaf, manifest, proof
 from unitlens.llm.mixing import mix_sources
 from unitlens.llm.ngram_join import ngram_join
 from unitlens.llm.oracle import ORACLE as ORACLE
+from unitlens.llm.phrase_mining import collocations
 from unitlens.llm.quality_rules import quality
 from unitlens.llm.scratch import ship_package
+from unitlens.llm.simhash_dedup import simhash_dedup
 from unitlens.llm.substring_dedup import substring_dedup
 from unitlens.llm.suffix_dedup import suffix_dedup
 from unitlens.llm.token_output import Tokenizer, pack
@@ -90,6 +92,15 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents").select("lang", "text"))
+
+
+def op13_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = simhash_dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,5 +111,5 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: shipped(f) for f in (op1_quality_rules, op2_source_mixing, op3_token_output, op4_ngram_jaccard_join, op5_decontamination, op6_line_dedup, op7_suffix_dedup, op8_substring_dedup, op9_language_id, op10_toxicity, op11_merkle_manifest)
+    f.__name__: shipped(f) for f in (op1_quality_rules, op2_source_mixing, op3_token_output, op4_ngram_jaccard_join, op5_decontamination, op6_line_dedup, op7_suffix_dedup, op8_substring_dedup, op9_language_id, op10_toxicity, op11_merkle_manifest, op12_phrase_mining, op13_simhash_dedup)
 }

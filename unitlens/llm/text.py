@@ -102,3 +102,21 @@ def word_spans(data: np.ndarray, bounds: np.ndarray, table: np.ndarray | None =
     ending[last] = inside[last]
     ends = np.flatnonzero(ending) + 1
     return starts, ends, np.searchsorted(starts, bounds)
+
+
+@lru_cache(maxsize=1)
+def lower_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint8)
+    table[ord("A") : ord("Z") + 1] += 32
+    return table
+
+
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words one after another with a blank behind each, and where they start and end there."""
+    sizes = ends - starts + 1
+    stops = np.cumsum(sizes)
+    begins = stops - sizes
+    at = np.repeat(starts - begins, sizes) + np.arange(stops[-1] if len(stops) else 0)
+    out = data[np.minimum(at, max(len(data) - 1, 0))]
+    out[stops - 1] = 32
+    return out, begins, stops - 1
