@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -101,3 +104,90 @@ def repeated_words(rows, width=20):
         rest = " ".join(x for x, g in zip(w, gone) if not g)
         out[i] = (len(w), sum(gone), hashlib.sha256(rest.encode()).hexdigest())
     return out
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def leaf(values):
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def tree(leaves):
+    """Top of the tree, and for each leaf the siblings on its left and right by level."""
+    level, places, paths = leaves, list(range(len(leaves))), [[] for _ in leaves]
+    while len(level) > 1:
+        for k, p in enumerate(places):
+            run = p - p % 3
+            paths[k].append(("".join(level[run:p]), "".join(level[p + 1 : run + 3])))
+        places = [p // 3 for p in places]
+        level = [sha("".join(level[i : i + 3])) for i in range(0, len(level), 3)]
+    return level[0], paths
+
+
+def fold(node, path):
+    for left, right in path:
+        node = sha(left + node + right)
+    return node
+
+
+def manifest(rows):
+    """[(doc_id, leaf, subroot, root, proof, root folded from the text without line ends)] for rows (doc_id, source, lang, n_chars, text)."""
+    of = defaultdict(list)
+    for r in rows:
+        of[r[1]].append((r[0] is not None, r[0] or 0, leaf(r), r))
+    names = sorted(of, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for name in names:
+        of[name].sort(key=lambda x: x[:3])
+        trees[name] = tree([x[2] for x in of[name]])
+    root, above = tree([trees[name][0] for name in names])
+    out = []
+    for place, name in enumerate(names):
+        subroot, paths = trees[name]
+        for (_, _, own, r), path in zip(of[name], paths):
+            path = path + above[place]
+            even = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0
+            shown = leaf((*r[:4], r[4] and r[4].replace("\n", ""))) if even else own
+            out.append((r[0], own, subroot, root, sha("".join(a + b for a, b in path)), fold(shown, path)))
+    return out
+
+
+def collocations(rows, support=30, absorbed=80, best=2000, longest=4):
+    """Rows (lang, rank, phrase, a, l, r, n, score) for rows (lang, text)."""
+    counts, totals = Counter(), Counter()
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang or "und"] += len(w)
+            for k in range(1, longest + 1):
+                counts.update((lang or "und", tuple(w[i : i + k])) for i in range(len(w) - k + 1))
+    found = {k: a for k, a in counts.items() if len(k[1]) > 1 and a >= support}
+    gone = set()
+    for (lang, p), a in found.items():
+        inner = {(lang, p[i : i + m]) for m in range(2, len(p)) for i in range(len(p) - m + 1)}
+        gone |= {x for x in inner if 100 * a >= absorbed * found[x]}
+    scored = defaultdict(list)
+    for (lang, p), a in found.items():
+        if (lang, p) not in gone:
+            score, k = min((2_000_000 * a // (counts[lang, p[:k]] + counts[lang, p[k:]]), k) for k in range(1, len(p)))
+            scored[lang].append((-score, -a, " ".join(p).encode(), counts[lang, p[:k]], counts[lang, p[k:]]))
+    return [
+        (lang, rank, phrase.decode(), -a, left, right, totals[lang], -score)
+        for lang, phrases in scored.items()
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(phrases)[:best], 1)
+    ]
+
+
+def simhash(text, width=4):
+    w = words(lowered(text))
+    parts = [" ".join(w[i : i + width]) for i in range(len(w) - width + 1)] or ([" ".join(w)] if w else [])
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def close_classes(prints, radius=4):
+    prints = sorted(set(prints))
+    links = [(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if (a ^ b).bit_count() <= radius]
+    return classes(links, prints)

@@ -91,8 +91,98 @@ kept AS (
 SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
 FROM split LEFT JOIN kept USING (r)"""
 
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+#: The remainder of CRC-32 before it is inverted, so an odd one belongs to an even CRC-32.
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(id) + 1), lambda i: ascii(id[i])::BIGINT)),
+  lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1))))"""
+_NEXT = "list_transform(range(0, (len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')))"
+_PLACE = "(pos // (3 ** k)::BIGINT)"
+_RUN = f"({_PLACE} - {_PLACE} % 3)"
+_SIBLINGS = f"""array_to_string(nodes[{_RUN} + 1:{_PLACE}], '') AS lefts, array_to_string(nodes[{_PLACE} + 2:{_RUN} + 3], '') AS rights"""
+MERKLE = rf"""WITH RECURSIVE
+leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {_leaf("text")} AS leaf, {_leaf("replace(text, chr(10), '')")} AS changed,
+         doc_id::VARCHAR AS id
+  FROM documents
+),
+shown AS (SELECT *, CASE WHEN {_CRC} & 1 = 1 THEN changed ELSE leaf END AS claimed FROM leaves),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos FROM shown
+),
+levels AS (
+  SELECT source, 0 AS k, list(leaf ORDER BY pos) AS nodes FROM placed GROUP BY source
+  UNION ALL
+  SELECT source, k + 1, {_NEXT} FROM levels WHERE len(nodes) > 1
+),
+tops AS (
+  SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM levels WHERE len(nodes) = 1
+),
+upper_levels AS (
+  SELECT 0 AS k, list(subroot ORDER BY pos) AS nodes FROM tops
+  UNION ALL
+  SELECT k + 1, {_NEXT} FROM upper_levels WHERE len(nodes) > 1
+),
+steps AS (
+  SELECT r, k, {_SIBLINGS} FROM placed JOIN levels ON placed.source IS NOT DISTINCT FROM levels.source WHERE len(nodes) > 1
+  UNION ALL
+  SELECT r, 100 + k, lefts, rights
+  FROM (SELECT source, k, {_SIBLINGS} FROM tops, upper_levels WHERE len(nodes) > 1) above
+  JOIN placed ON placed.source IS NOT DISTINCT FROM above.source
+),
+counted AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY k) AS i FROM steps),
+folds AS (
+  SELECT r, 0::BIGINT AS i, claimed AS h FROM placed
+  UNION ALL
+  SELECT folds.r, counted.i, sha256(lefts || h || rights) FROM folds JOIN counted ON counted.r = folds.r AND counted.i = folds.i + 1
+),
+proofs AS (SELECT r, string_agg(lefts || rights, '' ORDER BY i) AS p, max(i) AS i FROM counted GROUP BY r)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(p, '')) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM placed LEFT JOIN proofs USING (r) JOIN folds ON folds.r = placed.r AND folds.i = coalesce(proofs.i, 0)
+JOIN tops ON placed.source IS NOT DISTINCT FROM tops.source, (SELECT nodes[1] AS root FROM upper_levels WHERE len(nodes) = 1)"""
+
+PHRASES = rf"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+  FROM documents
+),
+split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM split, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+phrases AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM counts WHERE k > 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM phrases, (SELECT unnest([2, 3]) AS m) WHERE m < k) GROUP BY ALL
+),
+free AS (
+  SELECT p.* FROM phrases p LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+),
+cuts AS (SELECT *, unnest(range(1, k)) AS c FROM free),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, c, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+  FROM cuts
+  JOIN counts x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[:c], ' ')
+  JOIN counts y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[c + 1:], ' ')
+),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
 ORACLE = {
     "op1_quality_rules": QUALITY,
+    "op11_merkle_manifest": MERKLE,
+    "op12_phrase_mining": PHRASES,
     "op4_ngram_jaccard_join": JACCARD,
     "op8_substring_dedup": SUBSTRINGS,
 }
