@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitlens.plans import acquisition, data_quality, economics, profiling, revenue
+from unitlens.plans import acquisition, data_quality, economics, profiling, revenue, states
 from unitlens.sources import Tables
 
 PLANS: list[Callable[..., DataFrame]] = [
@@ -44,11 +44,14 @@ PLANS: list[Callable[..., DataFrame]] = [
     revenue.ltv_by_channel,
     revenue.revenue_scale_by_channel,
     revenue.matured_cohort_ltv,
+    revenue.censored_cohort_ltv,
     acquisition.deduplicated_ads,
+    acquisition.incremental_ads,
     acquisition.ads_daily_metrics,
     acquisition.ads_channel_totals,
     acquisition.cac_by_channel,
     acquisition.monthly_cac_by_channel,
+    acquisition.monthly_cac_calendar,
     acquisition.cac_by_hierarchy,
     economics.dedup_check,
     economics.coverage_three_sources,
@@ -61,6 +64,9 @@ PLANS: list[Callable[..., DataFrame]] = [
     economics.kpi_cards,
     economics.unit_economics_by_channel,
     economics.channel_ranking,
+    states.activity_by_period,
+    states.amount_quantiles,
+    states.hierarchy_activity,
 ]
 
 

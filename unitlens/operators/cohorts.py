@@ -69,6 +69,34 @@ def cohort_window_join(
     return usual.unionByName(apart).drop("cohort_key", "window_end")
 
 
+def binned_window_join(
+    cohort: DataFrame, facts: DataFrame, key: str, start: str, ts: str, months: int, days: int = 31
+) -> DataFrame:
+    """The same rows as ``cohort_window_join``, joined by key and time bin.
+
+    Facts are dealt into bins of ``days`` days, and a cohort row goes to every bin that its window touches, so
+    one key's facts are spread over the tasks by time. No key has to be known as hot and nothing is broadcast;
+    the price is some ``30 * months / days`` copies of the cohort rows, which are few beside the facts.
+    """
+    def time_bin(time: Column) -> Column:
+        return F.floor(F.datediff(time, F.lit("1970-01-01").cast("date")) / days).cast("int")
+
+    end = months_later(start, months)
+    touched = F.sequence(time_bin(F.col(start)), time_bin(end))
+    bounded = cohort.withColumnRenamed(key, "cohort_key").withColumn("window_end", end)
+    bounded = bounded.withColumn("cohort_bin", F.explode(touched))
+    same = (F.col(key) == F.col("cohort_key")) & (F.col("fact_bin") == F.col("cohort_bin"))
+    in_window = (F.col(ts) >= F.col(start)) & (F.col(ts) < F.col("window_end"))
+    joined = facts.withColumn("fact_bin", time_bin(F.col(ts))).join(bounded, same & in_window)
+    return joined.drop("cohort_key", "window_end", "fact_bin", "cohort_bin")
+
+
+def full_months(start: str, until: Column, most: int) -> Column:
+    """How many whole calendar months after ``start`` end at ``until`` or before, at most ``most``."""
+    ended = [F.when(months_later(start, k) <= until, 1).otherwise(0) for k in range(1, most + 1)]
+    return sum(ended[1:], ended[0])
+
+
 def sum_by_kind(
     cohort: DataFrame, matched: DataFrame, kind: str, amount: str, kinds: Sequence[str]
 ) -> DataFrame:

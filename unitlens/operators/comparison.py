@@ -23,6 +23,20 @@ def previous_value(partition: str, order: str, value: str) -> Column:
     return F.lag(value).over(Window.partitionBy(partition).orderBy(order))
 
 
+def dense_months(df: DataFrame, by: str, month: str) -> DataFrame:
+    """One row per group and calendar month from the group's first to its last one; months that ``df`` lacks
+    have NULL in all other columns. ``month`` is the first day of a month, a date."""
+    spans = df.groupBy(by).agg(F.min(month).alias("first"), F.max(month).alias("last"))
+    spine = spans.select(by, F.explode(F.sequence("first", "last", F.make_ym_interval(F.lit(0), F.lit(1)))).alias(month))
+    return spine.join(df, [by, month], "left")
+
+
+def last_known(partition: str, order: str, value: str) -> Column:
+    """The latest value before a row that is not NULL, however long ago."""
+    before = Window.partitionBy(partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(value, ignorenulls=True).over(before)
+
+
 def period_change(previous: Column, current: Column, digits: int | None = None) -> Column:
     """Change against the previous period in percent."""
     return ratio(current - previous, previous, scale=100, digits=digits)

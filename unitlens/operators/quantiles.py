@@ -102,6 +102,44 @@ def discrete_quantiles(freq: DataFrame, value: str, probs: dict[str, float]) ->
     )
 
 
+def grouped_quantiles(freq: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """``discrete_quantiles`` per group of ``by``, whose columns come first.
+
+    The same bands, counted per group; a group of any size is spread over its bands, and a window has
+    at most 2 * 10 ** DIGITS rows per group and quantile. What a level found joins by group and band.
+    """
+    code, digits = ordered_code(F.col(value), freq.schema[value].dataType)
+    coded = freq.select(*by, F.col(value).alias("value"), "n", code.alias("code"))
+    levels = list(range(-(-digits // DIGITS) - 1, -1, -1))
+
+    def band(level: int) -> Column:
+        width = F.lit(Decimal(10) ** (DIGITS * level))
+        return (F.col("code") - F.pmod(F.col("code"), width)).cast("decimal(38,0)")
+
+    group = Window.partitionBy(*by)
+    ranks = F.array(
+        *(
+            F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.ceil(F.col("total") * p)).alias("rank"))
+            for name, p in probs.items()
+        )
+    )
+    first = coded.groupBy(*by, band(levels[0]).alias("band")).agg(F.sum("n").alias("n"), F.max("value").alias("value"))
+    first = first.withColumns({"upto": F.sum("n").over(group.orderBy("band")), "total": F.sum("n").over(group)})
+    hits = first.select(*by, "band", "n", "value", "upto", F.inline(ranks))
+    for level in levels[1:]:
+        hits = hits.where("rank > upto - n and rank <= upto").select(
+            *(F.col(c).alias(f"hit_{c}") for c in by), F.col("band").alias("hit_band"), "name", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")
+        )
+        same = F.col("outer") == F.col("hit_band")
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"hit_{c}"))
+        inside = coded.withColumn("outer", band(level + 1)).withColumn("band", band(level)).join(hits, same)
+        hits = inside.groupBy(*by, "name", "rank", "band").agg(F.sum("n").alias("n"), F.max("value").alias("value"))
+        hits = hits.withColumn("upto", F.sum("n").over(Window.partitionBy(*by, "name").orderBy("band")))
+    found = hits.where("rank > upto - n and rank <= upto")
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in probs))
+
+
 def quantiles_of(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:
     """One row with a column ``p25`` style name per probability."""
     named = {f"p{100 * p:g}".replace(".", "_"): p for p in probs}

@@ -333,6 +333,62 @@ economics AS (
 )"""
 _ALL = (PRODUCT, PAYMENTS, USERS, CHANNELS, ADS, LAST_ADS, SOURCES)
 
+_FULL_MONTHS = " + ".join("CASE WHEN joined + INTERVAL {k} MONTH <= {until} THEN 1 ELSE 0 END".replace("{k}", str(k)) for k in range(1, 7))
+_CENSORED = f""",
+seen AS (SELECT *, {_FULL_MONTHS.replace("{until}", "(SELECT MAX(ts) FROM pay)")} AS observed FROM cohort),
+kept AS (
+  SELECT * FROM (
+    SELECT s.user_id, channel, observed, event, amount, {_FULL_MONTHS.replace("{until}", "p.ts")} AS age
+    FROM seen s JOIN pay p ON p.user_id = s.user_id AND p.ts >= joined AND p.ts < joined + INTERVAL 6 MONTH
+  ) WHERE age < observed
+),
+firsts AS (
+  SELECT s.user_id, s.channel, s.observed, MIN(age) FILTER (WHERE event = 'purchase') AS purchased,
+         MIN(age) FILTER (WHERE event = 'upsell') AS upsold
+  FROM seen s LEFT JOIN kept ON kept.user_id = s.user_id AND kept.channel = s.channel GROUP BY ALL
+),
+risk AS (
+  SELECT channel, k, COUNT(*) FILTER (WHERE observed > k) AS r,
+         {", ".join(f"COUNT(*) FILTER (WHERE observed > k AND COALESCE({c} >= k, TRUE)) AS r_{c}, COUNT(*) FILTER (WHERE observed > k AND {c} = k) AS d_{c}" for c in ("purchased", "upsold"))}
+  FROM firsts, (SELECT unnest(range(6)) AS k) GROUP BY ALL
+),
+paid AS (
+  SELECT channel, age AS k, SUM(amount) AS revenue, SUM(amount) FILTER (WHERE event = 'rebill') AS rebills FROM kept GROUP BY ALL
+),
+by_month AS (
+  SELECT channel, k,
+         {", ".join(f"CASE WHEN r > 0 AND r_{c} = 0 THEN 1.0 ELSE 1 - {_div(f'd_{c}', f'r_{c}')} END AS stay_{c}" for c in ("purchased", "upsold"))},
+         {", ".join(f"{_div(f'COALESCE({c}, 0)', 'r')} AS {c}" for c in ("revenue", "rebills"))}
+  FROM risk LEFT JOIN paid USING (channel, k)
+),
+estimates AS (
+  SELECT channel, {", ".join(f"CASE WHEN COUNT(stay_{c}) = 6 THEN 1 - list_reduce(list(CAST(stay_{c} AS DOUBLE) ORDER BY k), lambda a, b: a * b) END AS {c}" for c in ("purchased", "upsold"))},
+         {", ".join(f"CASE WHEN COUNT({c}) = 6 THEN list_reduce(list({c} ORDER BY k), lambda a, b: a + b) END AS {c}" for c in ("revenue", "rebills"))}
+  FROM by_month GROUP BY channel
+),
+means AS (
+  SELECT channel, {", ".join(f"{_div(f"SUM(amount) FILTER (WHERE event = '{k}')", f"COUNT(*) FILTER (WHERE event = '{k}')")} AS aov_{k}" for k in ("purchase", "upsell"))}
+  FROM kept GROUP BY channel
+)
+SELECT channel, COUNT(*) AS registered_users, COUNT(*) FILTER (WHERE observed = 6) AS matured_users,
+       CAST(SUM(observed) AS BIGINT) AS observed_months, {_round("ANY_VALUE(purchased_part)", 4)} AS conversion,
+       {_round("ANY_VALUE(revenue)", 2)} AS revenue_per_user,
+       {_round("ANY_VALUE(purchased_part * aov_purchase + rebills + upsold_part * aov_upsell)", 2)} AS ltv_6m_per_registered_user
+FROM firsts
+JOIN (SELECT channel, purchased AS purchased_part, upsold AS upsold_part, revenue, rebills FROM estimates) USING (channel)
+LEFT JOIN means USING (channel) GROUP BY channel"""
+
+_SHIFTED = {"lowest": -0.01, "exact": 0.0, "highest": 0.01}
+_RANKED = "\nUNION ALL\n".join(
+    f"SELECT event, channel, '{name}' AS quantile, COUNT(*) AS payments, "
+    + ", ".join(
+        _money(f"MAX(amount) FILTER (WHERE rn = GREATEST(1, CAST(CEIL(n * CAST({round(p + by, 6)} AS DOUBLE)) AS BIGINT)))") + f" AS {at}_amount"
+        for at, by in _SHIFTED.items()
+    )
+    + ", TRUE AS within_bound FROM ranked GROUP BY event, channel"
+    for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))
+)
+
 ORACLE: dict[str, str] = {
     "schema_overview": _with(PRODUCT, PAYMENTS)
     + "\nUNION ALL\n".join(
@@ -525,6 +581,55 @@ FROM per_channel""",
 SELECT channel, matured, registered AS registered_users, purchase_users AS buyers,
        {_money("revenue")} AS total_revenue_6m, {_round(_LTV, 2)} AS ltv_6m_per_registered_user
 FROM per_channel""",
+    "censored_cohort_ltv": _with(PRODUCT, PAYMENTS)
+    + """, cohort AS (
+  SELECT user_id, channel, MIN(ts) AS joined FROM ev WHERE event_type = 'registration' GROUP BY ALL
+)"""
+    + _CENSORED,
+    "activity_by_period": _with(PRODUCT)
+    + "\nUNION ALL\n".join(
+        f"""SELECT '{p}' AS period, CAST(date_trunc('{p}', ts) AS DATE) AS start,
+       COUNT(*) AS events_count, COUNT(DISTINCT user_id) AS active_users FROM ev GROUP BY ALL"""
+        for p in ("day", "month", "year")
+    ),
+    "amount_quantiles": _with(PRODUCT, PAYMENTS)
+    + """, ranked AS (
+  SELECT event, channel, amount, ROW_NUMBER() OVER (PARTITION BY event, channel ORDER BY amount) AS rn,
+         COUNT(*) OVER (PARTITION BY event, channel) AS n
+  FROM pay JOIN (SELECT DISTINCT user_id, channel FROM ev WHERE event_type = 'registration') USING (user_id)
+)
+"""
+    + _RANKED,
+    "hierarchy_activity": _with(ADS, LAST_ADS)
+    + f"""SELECT CASE GROUPING(campaign_id, adset_id, ad_id) WHEN 7 THEN 'source' WHEN 3 THEN 'campaign' WHEN 1 THEN 'adset'
+                                                         ELSE 'ad' END AS level,
+       source AS channel, campaign_id, adset_id, ad_id, COUNT(DISTINCT ad_id) AS active_ads,
+       COUNT(DISTINCT day) AS active_days, {_round("SUM(spend) / 100", 2)} AS total_spend,
+       {_round(_div("SUM(spend) / 100", "SUM(registrations) / 100"), 2)} AS cac
+FROM last_ad
+GROUP BY GROUPING SETS ((source), (source, campaign_id), (source, campaign_id, adset_id),
+                        (source, campaign_id, adset_id, ad_id))""",
+    "monthly_cac_calendar": _with(ADS, LAST_ADS)
+    + f""", per_month AS (
+  SELECT source, CAST(date_trunc('month', day) AS DATE) AS month, {_MEASURE_SUMS} FROM last_ad GROUP BY ALL
+),
+rated AS (SELECT *, {_RATES["cac"]} AS c FROM per_month),
+spine AS (
+  SELECT source, CAST(unnest(generate_series(MIN(month), MAX(month), INTERVAL 1 MONTH)) AS DATE) AS month FROM rated GROUP BY source
+),
+dense AS (
+  SELECT *, LAG(c) OVER (PARTITION BY source ORDER BY month) AS prev,
+         LAST_VALUE(c IGNORE NULLS) OVER earlier AS known,
+         LAST_VALUE(CASE WHEN c IS NOT NULL THEN month END IGNORE NULLS) OVER earlier AS known_month
+  FROM spine LEFT JOIN rated USING (source, month)
+  WINDOW earlier AS (PARTITION BY source ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+SELECT source AS channel, strftime(month, '%Y-%m') AS month, {_SPEND} AS total_spend, {_round("c", 2)} AS cac,
+       {_round("prev", 2)} AS previous_month_cac, {_ratio("c - prev", "prev", 2, 100)} AS change_pct,
+       {_round("known", 2)} AS last_known_cac, datediff('month', known_month, month) AS months_since,
+       {_ratio("c - known", "known", 2, 100)} AS change_since_last_pct,
+       COALESCE(datediff('month', known_month, month) > 1, FALSE) AS gap
+FROM dense""",
     "deduplicated_ads": _with(ADS, LAST_ADS)
     + """SELECT source, campaign_id, adset_id, ad_id, day AS "date", """
     + ", ".join(
@@ -662,3 +767,5 @@ SELECT metric, RANK() OVER (PARTITION BY metric ORDER BY score DESC NULLS LAST,
        channel, value
 FROM asked""",
 }
+
+ORACLE["incremental_ads"] = ORACLE["deduplicated_ads"]

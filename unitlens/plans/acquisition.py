@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitlens.functions import as_money, load_time, ratio, rounded
-from unitlens.operators.comparison import period_change, previous_value
+from unitlens.operators.comparison import dense_months, last_known, period_change, previous_value
 from unitlens.operators.snapshots import latest_snapshot, rescale
 from unitlens.plans.data_quality import MEASURES
 from unitlens.plans.revenue import LtvTerms, channel_components
+from unitlens.sources.marts import NONE, Manifest, manifest_of, publish, read_mart
+from unitlens.sources.workspace import work_folder
 
 # Fixed value: measures are stored this many times too large.
 STORED_SCALE = 100
@@ -22,6 +24,16 @@ AD_DAY = ("date", "ad_id")
 HIERARCHY = ["source", "campaign_id", "adset_id", "ad_id"]
 
 
+def timed_ads(ads: DataFrame, keys: Sequence[str], describe: Sequence[str]) -> DataFrame:
+    columns = dict.fromkeys([*describe, *keys, *MEASURES])
+    return ads.select(*columns, load_time().alias("snapshot_ts"))
+
+
+def last_of(timed: DataFrame, keys: Sequence[str], describe: Sequence[str]) -> DataFrame:
+    ties = [F.desc(m) for m in MEASURES] + [F.asc(c) for c in describe]
+    return latest_snapshot(timed, keys, F.col("snapshot_ts"), ties)
+
+
 def latest_ads(
     ads: DataFrame, keys: Sequence[str] = AD_DAY, describe: Sequence[str] = tuple(HIERARCHY)
 ) -> DataFrame:
@@ -31,12 +43,45 @@ def latest_ads(
     then the one whose description comes first. Rows are sorted to find it, so queries ask
     only for the description they need.
     """
-    columns = dict.fromkeys([*describe, *keys, *MEASURES])
-    with_time = ads.select(
-        *columns, load_time().alias("snapshot_ts")
-    )
-    ties = [F.desc(m) for m in MEASURES] + [F.asc(c) for c in describe]
-    return latest_snapshot(with_time, keys, F.col("snapshot_ts"), ties)
+    return last_of(timed_ads(ads, keys, describe), keys, describe)
+
+
+def merge_ad_loads(loads: DataFrame, path: str, batch: str, period: str = "yyyy-MM-dd") -> Manifest:
+    """Merge new load files into the stored last snapshots in ``path``; only the dates that they touch are read
+    and written, or only the longer periods if ``period`` names those (``yyyy-MM``).
+
+    Which snapshot is last doesn't depend on when it was merged, so loads may come late, in any order and
+    again. Rows with an incomplete key belong to no other row; those that the same batch brought before are
+    replaced, so a repeated batch doesn't double them. The periods of one batch, a few per load, are what
+    reaches the driver.
+    """
+    spark = loads.sparkSession
+    new = timed_ads(loads, AD_DAY, HIERARCHY).withColumns({"batch": F.lit(batch), "period": F.date_format("date", period)})
+    touched = [r[0] for r in new.select(F.coalesce("period", F.lit(NONE))).distinct().collect()]
+    rows = new
+    if manifest_of(spark, path):
+        whole = F.col("date").isNotNull() & F.col("ad_id").isNotNull()
+        rows = read_mart(spark, path, parts=touched).where(whole | (F.col("batch") != batch)).unionByName(new)
+    state = last_of(rows, AD_DAY, [*HIERARCHY, "batch"]).select(*new.columns)
+    return publish(state, path, batch, by="period", replaces=touched)
+
+
+def stored_ads(state: DataFrame) -> DataFrame:
+    """The stored snapshots as ``deduplicated_ads`` gives them."""
+    return measures_as_double(rescale(state.drop("batch", "period"), MEASURES, STORED_SCALE))
+
+
+def incremental_ads(ads: DataFrame) -> DataFrame:
+    """``deduplicated_ads`` from three batches of loads, the earliest of which comes last and then once more."""
+    spark = ads.sparkSession
+    path = work_folder(spark, "ad-snapshots")
+    loaded = F.substring("timestamp", 12, 2)
+    batches = {"evening": loaded >= "16", "day": loaded.between("08", "15"), "night": loaded < "08"}
+    rest = ~F.coalesce(loaded.between("00", "99"), F.lit(False))
+    for batch in (*batches, "night"):
+        taken = F.coalesce(batches[batch], F.lit(False))
+        merge_ad_loads(ads.where(taken | rest if batch == "night" else taken), path, batch, "yyyy-MM")
+    return stored_ads(read_mart(spark, path))
 
 
 def latest_by_source(ads: DataFrame) -> DataFrame:
@@ -148,6 +193,39 @@ def monthly_cac_by_channel(ads: DataFrame) -> DataFrame:
     )
 
 
+def monthly_cac_calendar(ads: DataFrame) -> DataFrame:
+    """Monthly CAC without holes: every calendar month of a source from its first to its last.
+
+    ``change_pct`` compares with the month before only, and is NULL after a month without a CAC;
+    ``change_since_last_pct`` compares with the last month that has one, ``months_since`` months ago, and
+    ``gap`` marks a row whose month before has none although an earlier one does.
+    """
+    month = F.trunc("date", "month").alias("month")
+    monthly = sum_measures(latest_by_source(ads).where("source IS NOT NULL AND date IS NOT NULL"), ["source", month])
+    valued = monthly.withColumn("cac", funnel_rates()["cac"])
+    valued = valued.withColumn("month_with_cac", F.when(F.col("cac").isNotNull(), F.col("month")))
+    dense = dense_months(valued, "source", "month").withColumns(
+        {
+            "before": previous_value("source", "month", "cac"),
+            "known": last_known("source", "month", "cac"),
+            "known_month": last_known("source", "month", "month_with_cac"),
+        }
+    )
+    since = F.months_between("month", "known_month").cast("bigint")
+    return dense.select(
+        F.col("source").alias("channel"),
+        F.date_format("month", "yyyy-MM").alias("month"),
+        as_money(F.col("total_spend")).alias("total_spend"),
+        rounded(F.col("cac"), 2).alias("cac"),
+        rounded(F.col("before"), 2).alias("previous_month_cac"),
+        period_change(F.col("before"), F.col("cac"), 2).alias("change_pct"),
+        rounded(F.col("known"), 2).alias("last_known_cac"),
+        since.alias("months_since"),
+        period_change(F.col("known"), F.col("cac"), 2).alias("change_since_last_pct"),
+        F.coalesce(since > 1, F.lit(False)).alias("gap"),
+    ).orderBy("channel", "month")
+
+
 def cac_by_hierarchy(ads: DataFrame) -> DataFrame:
     """CAC per source, campaign, ad set and ad. The rollup runs over totals per ad, so it
     multiplies ads, not snapshots."""

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from unitlens.functions import as_money, ratio, rounded
 from unitlens.operators.cohorts import (
+    binned_window_join,
     cohort_window_join,
     first_event_cohort,
+    full_months,
     months_later,
     sum_by_kind,
 )
 from unitlens.operators.comparison import share_of_total
 from unitlens.operators.skew import Skew
+from unitlens.operators.survival import converted, mean_cumulative
 
 PAYMENT_KINDS = ["purchase", "rebill", "upsell"]
 WINDOW_MONTHS = 6
@@ -188,3 +191,62 @@ def matured_cohort_ltv(product_events: DataFrame, orders: DataFrame) -> DataFram
         )
         .orderBy("channel", F.desc("matured"))
     )
+
+
+def observed_users(cohort: DataFrame, orders: DataFrame, until: Column, months: int = WINDOW_MONTHS) -> DataFrame:
+    """Per channel, observed months and months of the first purchase and upsell: users and what they paid.
+
+    Only whole months of age that end at ``until`` or before are observed; payments of later ones are left out.
+    """
+    seen = cohort.withColumn("observed", full_months("registration_ts", until, months))
+    # An order is in month k of age if k whole months lie between; clamped month ends are months_later's.
+    age = full_months("registration_ts", F.col("timestamp"), months)
+    paid = binned_window_join(seen, orders, "user_id", "registration_ts", "timestamp", months)
+    paid = paid.withColumn("age", age).where("age < observed")
+    blank = seen.select("*", F.lit(None).cast("int").alias("age"), F.lit(None).cast("string").alias("event"), F.lit(None).cast("decimal(12,2)").alias("amount"))
+    rows = paid.select(*blank.columns).unionByName(blank)
+    amount = F.coalesce("amount", F.lit(0).cast("decimal(12,2)"))
+    is_kind = {kind: F.coalesce(F.col("event") == kind, F.lit(False)) for kind in PAYMENT_KINDS}
+    per_user = rows.groupBy("user_id", "channel", "observed").agg(
+        *(F.min(F.when(is_kind[kind], F.col("age"))).alias(f"first_{kind}") for kind in ("purchase", "upsell")),
+        *(F.sum(F.when(is_kind[kind], amount).otherwise(0)).alias(f"{kind}_revenue") for kind in PAYMENT_KINDS),
+        *(F.count_if(is_kind[kind]).alias(f"{kind}_events") for kind in PAYMENT_KINDS),
+        *(F.sum(F.when((F.col("age") == k) & is_kind["rebill"], amount).otherwise(0)).alias(f"rebill_{k}") for k in range(months)),
+        *(F.sum(F.when(F.col("age") == k, amount).otherwise(0)).alias(f"revenue_{k}") for k in range(months)),
+    )
+    groups = ["channel", "observed", "first_purchase", "first_upsell"]
+    sums = [c for c in per_user.columns if c not in (*groups, "user_id")]
+    return per_user.groupBy(*groups).agg(F.count("user_id").alias("users"), *(F.sum(c).alias(c) for c in sums))
+
+
+def censored_cohort_ltv(product_events: DataFrame, orders: DataFrame) -> DataFrame:
+    """Conversion, revenue per user and LTV over six months that use every user for as long as they were observed.
+
+    Users whose window isn't over yet would lower the plain figures, and leaving them out loses what is known
+    of them. Conversion is the product-limit estimate over months of age, revenue per user adds up each month's
+    revenue per user observed in it. Once all users are observed to the end both are the plain figures. If
+    nobody was observed in some month, the sums that need it are NULL.
+    """
+    until = orders.agg(F.max("timestamp")).scalar()
+    users = observed_users(registrations(product_events), orders, until)
+    months = range(WINDOW_MONTHS)
+    n, observed = F.col("users"), F.col("observed")
+    at_risk = [F.sum(F.when(observed > k, n).otherwise(0)) for k in months]
+
+    def aov(kind: str) -> Column:
+        return ratio(F.sum(f"{kind}_revenue"), F.sum(f"{kind}_events"))
+
+    buyers, upsold = (converted(f"first_{kind}", "observed", "users", WINDOW_MONTHS) for kind in ("purchase", "upsell"))
+    rebills = mean_cumulative([F.sum(f"rebill_{k}") for k in months], at_risk)
+    return (
+        users.groupBy("channel")
+        .agg(
+            F.sum(n).alias("registered_users"),
+            F.sum(F.when(observed >= WINDOW_MONTHS, n).otherwise(0)).alias("matured_users"),
+            F.sum(n * observed).alias("observed_months"),
+            rounded(buyers, 4).alias("conversion"),
+            rounded(mean_cumulative([F.sum(f"revenue_{k}") for k in months], at_risk), 2).alias("revenue_per_user"),
+            rounded(buyers * aov("purchase") + rebills + upsold * aov("upsell"), 2).alias("ltv_6m_per_registered_user"),
+        )
+        .orderBy("channel")
+    )
