@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,12 @@ from unitlens.llm.repeats import signed as as_longs
 from unitlens.llm.scratch import written
 from unitlens.llm.text import MULTIPLIER, chunks, lower_table, mix, span_hashes, spaced, utf8, word_spans
 
-#: Bytes of text whose phrases are counted together before they leave the task.
-CHUNK = 1 << 22
+#: Phrases that a task gathers before it counts them and hands them on, and tables of spelled ones likewise.
+GATHERED, TABLES = 1 << 21, 32
+#: Bytes of text behind one group that merges counts.
+MERGED = 1 << 24
+#: Bytes that are hashed at once; longer words take another way.
+STEP, LONG = 8, 256
 #: What ends a piece, and what else separates words.
 PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
 BLANKS = " \t"
@@ -40,38 +45,59 @@ def table_of(characters: str) -> np.ndarray:
     return table
 
 
+ENDS_PIECE, SEPARATES = table_of(PIECE_ENDS), table_of(PIECE_ENDS + BLANKS)
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(STEP)] + [2**64 - 1], np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of words, read STEP bytes at a time; a word's length decides how it is hashed."""
+    view = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(STEP, np.uint8)), strides=(1,))
+    left = ends - starts
+    out = mix(left.astype(np.uint64) * MULTIPLIER + np.uint64(seed))
+    some, at = np.flatnonzero(left <= LONG), starts.copy()
+    while len(some):
+        block = view[at[some]] & LOW_BYTES[np.minimum(left[some], STEP)]
+        out[some] = mix(out[some] * MULTIPLIER ^ block)
+        at[some] += STEP
+        left[some] -= STEP
+        some = some[left[some] > 0]
+    long = np.flatnonzero(ends - starts > LONG)
+    if len(long):
+        out[long] = span_hashes(data, starts[long], ends[long], seed)
+    return out
+
+
 @dataclass
 class Words:
-    """The words of a chunk: text row, whether the next word is in the same piece, text with one blank
-    between words, and a hash of language and word."""
+    """The words of a chunk: text row, whether the next word is in the same piece, place, and hashes of
+    language and word."""
 
     row: np.ndarray
     next_too: np.ndarray
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
-    grams: np.ndarray
+    langs: np.ndarray
 
     @classmethod
     def of(cls, langs: pa.Array, texts: pa.Array) -> Words:
         data, bounds = utf8(texts)
         data = lower_table()[data]
-        starts, ends, first = word_spans(data, bounds, table_of(PIECE_ENDS + BLANKS))
+        starts, ends, first = word_spans(data, bounds, SEPARATES)
         row = np.repeat(np.arange(len(texts)), np.diff(first))
-        piece = np.cumsum(table_of(PIECE_ENDS)[data])[starts] if len(starts) else starts
+        piece = np.searchsorted(np.flatnonzero(ENDS_PIECE[data]), starts)
         next_too = np.append((row[1:] == row[:-1]) & (piece[1:] == piece[:-1]), False)[: len(row)]
         named, edges = utf8(langs)
-        seeds = span_hashes(named, edges[:-1], edges[1:], seed=1)
-        grams = mix(span_hashes(data, starts, ends) ^ mix(seeds[row]))
-        return cls(row, next_too, *spaced(data, starts, ends), grams)
+        return cls(row, next_too, data, starts, ends, mix(span_hashes(named, edges[:-1], edges[1:], seed=1)))
 
-    def levels(self, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def levels(self, longest: int, seed: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For 1, 2, ... words: hashes of the phrases that begin at each word, and whether there is one."""
-        grams, there = self.grams, np.ones(len(self.row), bool)
+        one = mix(word_hashes(self.data, self.starts, self.ends, seed) ^ self.langs[self.row])
+        grams, there = one, np.ones(len(one), bool)
         for k in range(1, longest + 1):
             yield grams, there
-            after = np.concatenate([self.grams[k:], np.zeros(min(k, len(grams)), np.uint64)])
-            joined = np.concatenate([self.next_too[k - 1 :], np.zeros(min(k - 1, len(grams)), bool)])
+            after = np.concatenate([one[k:], np.zeros(min(k, len(one)), np.uint64)])
+            joined = np.concatenate([self.next_too[k - 1 :], np.zeros(min(k - 1, len(one)), bool)])
             grams, there = mix(grams * MULTIPLIER + after), there & joined
 
 
@@ -79,61 +105,138 @@ def in_shard(grams: np.ndarray, shard: np.ndarray) -> np.ndarray:
     return mix(grams + (shard.astype(np.uint64) + np.uint64(1)) * MULTIPLIER)
 
 
-def counted(length: int, below):
-    """(lang, shard, gram, value, n) of the phrases of ``length`` words whose two parts of a word less pass ``below``."""
+def later(values: np.ndarray, k: int) -> np.ndarray:
+    """``values`` of the place ``k`` further on; False beyond the end."""
+    return np.concatenate([values[k:], np.zeros(min(k, len(values)), bool)])
+
+
+def runs(grams: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by gram, then cell, and where a run of equal pairs begins in it."""
+    order = np.lexsort((cells, grams))
+    grams, cells = grams[order], cells[order]
+    return order, np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (cells[1:] != cells[:-1])])[: len(order)])
+
+
+def parted(grams: np.ndarray, cells: np.ndarray, names: list[str], groups: int) -> Iterator[pa.RecordBatch]:
+    """Counts of equal phrases as one row per merging group, packed."""
+    cells = cells.astype(np.min_scalar_type(len(names)))
+    order, first = runs(grams, cells)
+    n = np.diff(np.append(first, len(order))).astype(np.uint32)
+    grams, cells = grams[order[first]], cells[order[first]]
+    # The order is that of the grams, so the groups, ranges of them, lie one after another.
+    group = ((grams >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+    cuts = np.searchsorted(group, np.arange(groups + 1, dtype=np.uint64))
+    full = np.flatnonzero(np.diff(cuts))
+    ranges = [slice(cuts[g], cuts[g + 1]) for g in full]
+    used = [np.unique(cells[r], return_inverse=True) for r in ranges]
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(full.astype(np.int32)),
+            pa.array([[names[c] for c in u[0]] for u in used], pa.list_(pa.string())),
+            pa.array([u[1].astype(np.uint32).tobytes() for u in used], pa.binary()),
+            pa.array([grams[r].tobytes() for r in ranges], pa.binary()),
+            pa.array([n[r].tobytes() for r in ranges], pa.binary()),
+        ],
+        ["part", "cells", "cell", "gram", "n"],
+    )
+
+
+PARTED = "part int, cells array<string>, cell binary, gram binary, n binary"
+
+
+def counted(lengths: range, below, groups: int):
+    """Counts of the phrases of these lengths all of whose parts of ``lengths[0] - 1`` words pass ``below``."""
+    shorter = lengths[0] - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[str, int] = {}
+        grams_of, cells_of, many = [], [], 0
         for batch in batches:
-            for a, b in chunks(batch.column(2), CHUNK):
-                lang, shard, text = (batch.column(k).slice(a, b - a) for k in range(3))
-                words, shards = Words.of(lang, text), shard.to_numpy()
-                shorter = None
-                for k, (grams, there) in enumerate(words.levels(length), 1):
-                    if k == length - 1:
-                        shorter = there & passes(below.value, in_shard(grams, shards[words.row]))
-                if shorter is not None:
-                    there = there & shorter & np.append(shorter[1:], False)[: len(shorter)]
-                at = np.flatnonzero(there)
-                values, first, n = np.unique(in_shard(grams[at], shards[words.row[at]]), return_index=True, return_counts=True)
-                at = at[first]
-                row = pa.array(words.row[at])
-                yield pa.RecordBatch.from_arrays(
-                    [lang.take(row), shard.take(row), as_longs(grams[at]), as_longs(values), pa.array(n)],
-                    ["lang", "shard", "gram", "value", "n"],
-                )
+            lang, cell, text = (batch.column(k) for k in range(3))
+            kinds = cell.dictionary_encode()
+            code = np.array([names.setdefault(c, len(names)) for c in kinds.dictionary.to_pylist()], np.int64)
+            code = code[kinds.indices.to_numpy()]
+            shard_of = np.array([int(c.split("|", 1)[0]) for c in names], np.int64)
+            for a, b in chunks(text):
+                words = Words.of(lang.slice(a, b - a), text.slice(a, b - a))
+                cells = code[a:b][words.row]
+                passed = None
+                for k, (grams, there) in enumerate(words.levels(lengths[-1]), 1):
+                    if k == shorter:
+                        passed = there & passes(below.value, in_shard(grams, shard_of[cells]))
+                    if k not in lengths:
+                        continue
+                    for i in range(k - shorter + 1) if passed is not None else ():
+                        there = there & later(passed, i)
+                    at = np.flatnonzero(there)
+                    grams_of.append(grams[at])
+                    cells_of.append(cells[at])
+                    many += len(at)
+                if many >= GATHERED:
+                    yield from parted(np.concatenate(grams_of), np.concatenate(cells_of), list(names), groups)
+                    grams_of, cells_of, many = [], [], 0
+        if many:
+            yield from parted(np.concatenate(grams_of), np.concatenate(cells_of), list(names), groups)
 
     return run
 
 
+def frequent_in_shard(table: pa.Table) -> pa.Table:
+    """Sums of one group's counts; the grams that reach their cell's support, and their values in the shard."""
+    names: dict[str, int] = {}
+    cells = []
+    for kinds, raw in zip(table.column("cells").to_pylist(), table.column("cell").to_pylist()):
+        cells.append(np.array([names.setdefault(c, len(names)) for c in kinds], np.uint32)[np.frombuffer(raw, np.uint32)])
+    cells = np.concatenate(cells)
+    grams = np.concatenate([np.frombuffer(raw, np.uint64) for raw in table.column("gram").to_pylist()])
+    n = np.concatenate([np.frombuffer(raw, np.uint32) for raw in table.column("n").to_pylist()]).astype(np.int64)
+    cells = cells.astype(np.min_scalar_type(len(names)))
+    order, first = runs(grams, cells)
+    n, grams, cells = np.add.reduceat(n[order], first), grams[order[first]], cells[order[first]]
+    shard, least = np.array([[int(x) for x in c.split("|", 2)[:2]] for c in names], np.int64).T
+    kept = n >= least[cells]
+    grams, shard = grams[kept], shard[cells[kept]]
+    return pa.table({"gram": as_longs(grams), "value": as_longs(in_shard(grams, shard))})
+
+
 def spelled(longest: int, candidates):
-    """(lang, words, phrase, n): occurrences of the phrases that pass ``candidates``, counted by their spelling."""
+    """(lang, words, phrase, n): occurrences of the phrases that pass ``candidates``, counted by their spelling; with
+    0 words, all words of the language."""
+
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        table = pa.concat_tables(tables).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")])
+        return table.rename_columns(["lang", "words", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: list[pa.Table] = []
         for batch in batches:
-            for a, b in chunks(batch.column(1), CHUNK):
+            for a, b in chunks(batch.column(1)):
                 lang, text = (batch.column(k).slice(a, b - a) for k in range(2))
-                code = lang.dictionary_encode()
                 words = Words.of(lang, text)
-                codes = code.indices.to_numpy()
-                for k, (grams, there) in enumerate(words.levels(longest), 1):
+                row = pa.array(words.row)
+                per_lang = lang.take(row).value_counts()
+                langs, ns = per_lang.field(0), per_lang.field(1)
+                tables.append(pa.table({"lang": langs, "words": pa.array(np.zeros(len(langs), np.int32)), "phrase": pa.array([""] * len(langs), pa.string()), "n": ns}))
+                spaced_data, starts, ends = spaced(words.data, words.starts, words.ends)
+                # Two hashes tell phrases apart within a chunk; beyond it only their spelling counts.
+                levels = zip(words.levels(longest), words.levels(longest, seed=2))
+                for k, ((grams, there), (others, _)) in enumerate(levels, 1):
                     at = np.flatnonzero(there & passes(candidates.value, grams))
-                    starts, ends = words.starts[at], words.ends[at + k - 1]
-                    data, begins, _ = spaced(words.data, starts, ends)
-                    # The blank behind each phrase belongs to it here, and goes once phrases are counted.
+                    order, first = runs(grams[at], others[at])
+                    n, at = np.diff(np.append(first, len(order))), at[order[first]]
+                    data, begins, stops = spaced(spaced_data, starts[at], ends[at + k - 1])
+                    # The blank behind each phrase belongs to it here, and goes with the next step.
                     offsets = np.append(begins, len(data)).astype(np.int64)
                     phrases = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data))
-                    found = pa.table({"code": codes[words.row[at]], "phrase": phrases}).group_by(["code", "phrase"])
-                    found = found.aggregate([([], "count_all")]).combine_chunks()
-                    for part in found.to_batches():
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                code.dictionary.take(part.column("code")),
-                                pa.array(np.full(len(part), k, np.int32)),
-                                pa.compute.utf8_slice_codeunits(part.column("phrase"), 0, -1).cast(pa.string()),
-                                part.column("count_all"),
-                            ],
-                            ["lang", "words", "phrase", "n"],
-                        )
+                    phrases = pc.utf8_slice_codeunits(phrases, 0, -1).cast(pa.string())
+                    tables.append(pa.table({"lang": lang.take(pa.array(words.row[at])), "words": pa.array(np.full(len(at), k, np.int32)), "phrase": phrases, "n": pa.array(n)}))
+                if len(tables) >= TABLES * (longest + 1):
+                    tables = [summed(tables)]
+                    if tables[0].num_rows > GATHERED:
+                        yield from tables[0].combine_chunks().to_batches()
+                        tables = []
+        if tables:
+            yield from summed(tables).combine_chunks().to_batches()
 
     return run
 
@@ -142,28 +245,30 @@ def frequent_phrases(docs: DataFrame, rule: Mining = Mining(), lang: str = "lang
     """(lang, words, phrase, n) of all phrases with the rule's support, single words included, and (lang, n) with
     all word occurrences.
 
-    A text's shard is the hash of the text. What has the support in a language has, in one shard at least, the
-    share of it that the shard has of the language's words. Each shard is mined completely at that lower support,
-    by length: a phrase counts only if both its parts of a word less are frequent in the shard. Hashes select; the
-    phrases that are frequent in some shard are then counted over all documents by their spelling.
+    A text's shard is the hash of the text, a shard's part of a language the part of its bytes. What has the
+    support in a language has, in one shard at least, that shard's part of it. Each shard is mined completely at
+    that lower support: first words, then pairs of words frequent there, then longer phrases all of whose pairs are
+    frequent there. A shard is as large as the corpus needs; its counts merge in many groups, by hash. Hashes only
+    select: phrases that are frequent in some shard are counted over all documents by their spelling.
     """
     context = docs.sparkSession.sparkContext
     base = docs.select(
-        F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.pmod(F.xxhash64(text), F.lit(rule.shards)).cast("int").alias("shard"), F.col(text).alias("text")
+        F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.pmod(F.xxhash64(text), F.lit(rule.shards)).alias("shard"), F.col(text).alias("text")
     )
-    below, kept, least = None, [], None
-    for length in range(1, rule.longest + 1):
-        rows = base.mapInArrow(counted(length, below), "lang string, shard int, gram long, value long, n long")
-        rows = rows.groupBy("lang", "shard", "gram", "value").agg(F.sum("n").alias("n"))
-        if length == 1:
-            rows = written(rows)
-            sizes = written(rows.groupBy("lang", "shard").agg(F.sum("n").alias("size")), 8)
-            totals = sizes.groupBy("lang").agg(F.sum("size").alias("n"))
-            share = sizes.join(totals, "lang")
-            wide = [F.col(c).cast("decimal(38,0)") for c in ("size", "n")]
-            enough = F.call_function("div", rule.support * wide[0] + wide[1] - 1, wide[1])
-            least = written(share.select("lang", "shard", enough.alias("least")), 8)
-        frequent = written(rows.join(least, ["lang", "shard"]).where("n >= least").select("gram", "value"), 2)
+    sizes = written(base.groupBy("lang", "shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("size")), 8)
+    whole = sizes.groupBy("lang").agg(F.sum("size").alias("whole"))
+    size, total = (F.col(c).cast("decimal(38,0)") for c in ("size", "whole"))
+    least = F.greatest(F.call_function("div", rule.support * size + total - 1, total), F.lit(1))
+    cells = written(sizes.join(whole.where("whole > 0"), "lang").select("lang", "shard", F.concat_ws("|", "shard", least, "lang").alias("cell")), 8)
+    # As small as the languages are few; Spark sees the size and shuffles the texts only beyond its limit for broadcasts.
+    celled = base.join(cells, ["lang", "shard"]).select("lang", "cell", "text")
+    groups = max(1, (sizes.agg(F.sum("size")).first()[0] or 0) // MERGED)
+    below, kept = None, []
+    for lengths in (range(1, 2), range(2, 3), range(3, rule.longest + 1)):
+        if not lengths:
+            continue
+        parts = celled.mapInArrow(counted(lengths, below, groups), PARTED)
+        frequent = written(parts.groupBy("part").applyInArrow(frequent_in_shard, "gram long, value long"), 2)
         below = context.broadcast(bit_filter(frequent.select("value")))
         kept.append(frequent.select(F.col("gram").alias("value")))
     union = kept[0]
@@ -171,8 +276,9 @@ def frequent_phrases(docs: DataFrame, rule: Mining = Mining(), lang: str = "lang
         union = union.union(more)
     candidates = context.broadcast(bit_filter(union))
     occurrences = base.select("lang", "text").mapInArrow(spelled(rule.longest, candidates), "lang string, words int, phrase string, n long")
-    counts = occurrences.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= rule.support)
-    return written(counts, 4), totals
+    counts = occurrences.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    counts = written(counts.where((F.col("words") == 0) | (F.col("n") >= rule.support)), 4)
+    return counts.where("words > 0"), counts.where("words = 0").select("lang", "n")
 
 
 def part(words: Column, start: Column, size: Column) -> Column:
