@@ -35,9 +35,9 @@ def lowered(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
-def shingles(text):
+def shingles(text, width=3):
     w = words(lowered(text))
-    return set(zip(w, w[1:], w[2:])) if len(w) >= 3 else {tuple(w)} if w else set()
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
 
 
 def classes(links, nodes):
@@ -55,9 +55,9 @@ def classes(links, nodes):
     return {n: root(n) for n in nodes}
 
 
-def jaccard_components(rows, percent=90):
+def jaccard_components(rows, percent=90, width=3):
     """{doc_id: (n_shingles, component_id)} for rows (doc_id, text) with different ids."""
-    sets = {i: shingles(t) for i, t in rows}
+    sets = {i: shingles(t, width) for i, t in rows}
     holders = defaultdict(list)
     for i, s in sets.items():
         for g in s:
