@@ -181,22 +181,32 @@ def counted(lengths: range, below, groups: int):
     return run
 
 
-def frequent_in_shard(table: pa.Table) -> pa.Table:
-    """Sums of one group's counts; the grams that reach their cell's support, and their values in the shard."""
-    names: dict[str, int] = {}
-    cells = []
-    for kinds, raw in zip(table.column("cells").to_pylist(), table.column("cell").to_pylist()):
-        cells.append(np.array([names.setdefault(c, len(names)) for c in kinds], np.uint32)[np.frombuffer(raw, np.uint32)])
-    cells = np.concatenate(cells)
-    grams = np.concatenate([np.frombuffer(raw, np.uint64) for raw in table.column("gram").to_pylist()])
-    n = np.concatenate([np.frombuffer(raw, np.uint32) for raw in table.column("n").to_pylist()]).astype(np.int64)
-    cells = cells.astype(np.min_scalar_type(len(names)))
-    order, first = runs(grams, cells)
-    n, grams, cells = np.add.reduceat(n[order], first), grams[order[first]], cells[order[first]]
-    shard, least = np.array([[int(x) for x in c.split("|", 2)[:2]] for c in names], np.int64).T
-    kept = n >= least[cells]
-    grams, shard = grams[kept], shard[cells[kept]]
-    return pa.table({"gram": as_longs(grams), "value": as_longs(in_shard(grams, shard))})
+def frequent_in_shard(support: int, all_counted: bool):
+    """Sums of one group's counts: the grams that reach their shard's support and can reach the whole one, and
+    their values in the shard. A shard that didn't count a phrase has fewer than its support of it, or none if
+    ``all_counted``; that bounds the phrase's occurrences in all shards, and those of all longer ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names: dict[str, int] = {}
+        cells = []
+        for kinds, raw in zip(table.column("cells").to_pylist(), table.column("cell").to_pylist()):
+            cells.append(np.array([names.setdefault(c, len(names)) for c in kinds], np.uint32)[np.frombuffer(raw, np.uint32)])
+        cells = np.concatenate(cells).astype(np.min_scalar_type(len(names)))
+        grams = np.concatenate([np.frombuffer(raw, np.uint64) for raw in table.column("gram").to_pylist()])
+        n = np.concatenate([np.frombuffer(raw, np.uint32) for raw in table.column("n").to_pylist()]).astype(np.int64)
+        order, first = runs(grams, cells)
+        n, grams, cells = np.add.reduceat(n[order], first), grams[order[first]], cells[order[first]]
+        shard, least, slack = np.array([[int(x) for x in c.split("|", 3)[:3]] for c in names], np.int64).T
+        head = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        if all_counted:
+            most = np.add.reduceat(n, head)
+        else:
+            most = np.add.reduceat(n - (least[cells] - 1), head) + slack[cells[head]]
+        most = np.repeat(most, np.diff(np.append(head, len(grams))))
+        kept = (n >= least[cells]) & (most >= support)
+        return pa.table({"gram": as_longs(grams[kept]), "value": as_longs(in_shard(grams[kept], shard[cells[kept]]))})
+
+    return run
 
 
 def spelled(longest: int, candidates):
@@ -248,8 +258,9 @@ def frequent_phrases(docs: DataFrame, rule: Mining = Mining(), lang: str = "lang
     A text's shard is the hash of the text, a shard's part of a language the part of its bytes. What has the
     support in a language has, in one shard at least, that shard's part of it. Each shard is mined completely at
     that lower support: first words, then pairs of words frequent there, then longer phrases all of whose pairs are
-    frequent there. A shard is as large as the corpus needs; its counts merge in many groups, by hash. Hashes only
-    select: phrases that are frequent in some shard are counted over all documents by their spelling.
+    frequent there. A shard is as large as the corpus needs; its counts merge in many groups, by hash, where the
+    shards' counts of a phrase meet and also bound it from above. Hashes only select: phrases that are frequent in
+    some shard are counted over all documents by their spelling.
     """
     context = docs.sparkSession.sparkContext
     base = docs.select(
@@ -259,7 +270,9 @@ def frequent_phrases(docs: DataFrame, rule: Mining = Mining(), lang: str = "lang
     whole = sizes.groupBy("lang").agg(F.sum("size").alias("whole"))
     size, total = (F.col(c).cast("decimal(38,0)") for c in ("size", "whole"))
     least = F.greatest(F.call_function("div", rule.support * size + total - 1, total), F.lit(1))
-    cells = written(sizes.join(whole.where("whole > 0"), "lang").select("lang", "shard", F.concat_ws("|", "shard", least, "lang").alias("cell")), 8)
+    shares = written(sizes.join(whole.where("whole > 0"), "lang").select("lang", "shard", least.alias("least")), 8)
+    slack = shares.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("slack"))
+    cells = written(shares.join(slack, "lang").select("lang", "shard", F.concat_ws("|", "shard", "least", "slack", "lang").alias("cell")), 8)
     # As small as the languages are few; Spark sees the size and shuffles the texts only beyond its limit for broadcasts.
     celled = base.join(cells, ["lang", "shard"]).select("lang", "cell", "text")
     groups = max(1, (sizes.agg(F.sum("size")).first()[0] or 0) // MERGED)
@@ -268,7 +281,7 @@ def frequent_phrases(docs: DataFrame, rule: Mining = Mining(), lang: str = "lang
         if not lengths:
             continue
         parts = celled.mapInArrow(counted(lengths, below, groups), PARTED)
-        frequent = written(parts.groupBy("part").applyInArrow(frequent_in_shard, "gram long, value long"), 2)
+        frequent = written(parts.groupBy("part").applyInArrow(frequent_in_shard(rule.support, below is None), "gram long, value long"), 2)
         below = context.broadcast(bit_filter(frequent.select("value")))
         kept.append(frequent.select(F.col("gram").alias("value")))
     union = kept[0]
