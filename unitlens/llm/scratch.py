@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and what Python workers need."""
 
 from __future__ import annotations
 
@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of its own only where that is unset."""
+    """``spark.checkpoint.dir`` of the session. Only a local session, whose executors are the driver, may do
+    without and gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='unitlens-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -31,8 +34,15 @@ def written(df: DataFrame, merged: int = 1) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that a Python worker gets at once, unless the session says otherwise.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this library where it is not installed, through Spark's own files."""
+    """Let Python workers import this library where it is not installed, through Spark's own files, and get
+    rows in batches of bounded bytes."""
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
     context = spark.sparkContext
     if "unitlens.zip" not in context._python_includes:
         top = Path(__file__).resolve().parents[2]

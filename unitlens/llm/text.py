@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -68,14 +69,23 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of a string column with about ``most`` bytes each; one row is never cut."""
+    """Row ranges of a string column with about ``most`` bytes each; one row is never cut. Memory is given back
+    behind the last one."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield a, b
+    give_back()
 
 
 @lru_cache(maxsize=1)
