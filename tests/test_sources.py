@@ -123,3 +123,12 @@ def test_ads_grow_within_a_day(spark):
     falls = [F.col(f"low_{m}") < F.lag(f"high_{m}").over(day) for m in acquisition.MEASURES]
     flagged = minute.select(*(f.alias(f"f{i}") for i, f in enumerate(falls)))
     assert flagged.where("f0 or f1 or f2 or f3 or f4").count() == 0
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc"])
+def test_files_without_a_column_are_refused(spark, tmp_path, fmt):
+    """A missing id would be NULL in every row, and each snapshot would count by itself."""
+    path = str(tmp_path / "ads")
+    ads_df(spark, M2_ADS).drop("ad_id", "clicks").write.format(fmt).save(path)
+    with pytest.raises(ValueError, match="no column ad_id, clicks"):
+        read_ads(spark, path, fmt)

@@ -7,11 +7,20 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType, IntegralType
+from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType, IntegralType, LongType
 
 #: Decimal digits that one level settles: at most 10,000 bands of either sign.
 DIGITS = 4
 SMALLEST_NORMAL = -1022
+#: Digits that any BIGINT code has room for, together with the band that it is in.
+LONG_DIGITS = 18
+
+
+def band_of(code: Column, digits: int, level: int) -> Column:
+    """The code without its last DIGITS * ``level`` digits, in the code's type."""
+    if digits <= LONG_DIGITS:
+        return code - F.pmod(code, F.lit(10 ** (DIGITS * level)).cast("bigint"))
+    return (code - F.pmod(code, F.lit(Decimal(10) ** (DIGITS * level)))).cast("decimal(38,0)")
 
 
 def frequencies(df: DataFrame, value: str) -> DataFrame:
@@ -22,8 +31,13 @@ def frequencies(df: DataFrame, value: str) -> DataFrame:
 def ordered_code(value: Column, kind: DataType) -> tuple[Column, int]:
     """A whole number with the order of the values, and the digits that it has at most.
 
-    For DOUBLE it is made of the exponent and the fraction, as in the stored bits.
+    It is a BIGINT where 18 digits are enough, a decimal otherwise. For DOUBLE it is made of the exponent
+    and the fraction, as in the stored bits.
     """
+    if isinstance(kind, DecimalType) and kind.precision <= LONG_DIGITS:
+        return (value.cast(DecimalType(38, kind.scale)) * F.lit(Decimal(10) ** kind.scale)).cast("bigint"), kind.precision
+    if isinstance(kind, IntegralType) and not isinstance(kind, LongType):
+        return value.cast("bigint"), 10
     if isinstance(kind, DecimalType):
         if kind.scale == 0:
             return value.cast("decimal(38,0)"), kind.precision
@@ -64,10 +78,7 @@ def discrete_quantiles(freq: DataFrame, value: str, probs: dict[str, float]) ->
     levels = list(range(-(-digits // DIGITS) - 1, -1, -1))
 
     def band(level: int) -> Column:
-        if level == 0:
-            return F.col("code")
-        width = F.lit(Decimal(10) ** (DIGITS * level))
-        return (F.col("code") - F.pmod(F.col("code"), width)).cast("decimal(38,0)")
+        return F.col("code") if level == 0 else band_of(F.col("code"), digits, level)
 
     by_band = Window.orderBy("band")
     whole = by_band.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -113,8 +124,7 @@ def grouped_quantiles(freq: DataFrame, by: Sequence[str], value: str, probs: dic
     levels = list(range(-(-digits // DIGITS) - 1, -1, -1))
 
     def band(level: int) -> Column:
-        width = F.lit(Decimal(10) ** (DIGITS * level))
-        return (F.col("code") - F.pmod(F.col("code"), width)).cast("decimal(38,0)")
+        return F.col("code") if level == 0 else band_of(F.col("code"), digits, level)
 
     group = Window.partitionBy(*by)
     ranks = F.array(

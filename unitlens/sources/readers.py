@@ -19,7 +19,13 @@ def strict_cast(name: str, kind: DataType) -> Column:
 
 def _read(spark: SparkSession, path: str, fmt: str, schema: StructType) -> DataFrame:
     """The schema's columns, found by name. JSON fails on malformed values, CSV on those and on files
-    whose headers differ from the first one's; a column that a CSV header lacks is an error."""
+    whose headers differ from the first one's; a column that a CSV header or a Parquet or ORC schema lacks is an
+    error. JSON writers leave out what is NULL, so there a missing name is a NULL."""
+    if fmt in ("parquet", "orc"):
+        present = spark.read.format(fmt).load(path).columns
+        lacking = [f.name for f in schema if f.name not in present]
+        if lacking:
+            raise ValueError(f"{path} has no column {', '.join(lacking)}")
     if fmt != "csv":
         return spark.read.format(fmt).schema(schema).option("mode", "FAILFAST").load(path)
     text = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
