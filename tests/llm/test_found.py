@@ -10,7 +10,6 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
-import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -18,10 +17,14 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from unitlens.llm import language_id, toxicity
 from unitlens.llm.decontamination import contaminated, nearest
+from unitlens.llm import line_dedup as line_module
+from unitlens.llm import simhash_dedup as simhash_module
 from unitlens.llm.line_dedup import RADIUS, line_dedup, without_lines
+from unitlens.llm.line_dedup import edits as line_edits
 from unitlens.llm.ngram_join import ngram_join
 from unitlens.llm.queries import ORACLE, QUERIES
 from unitlens.llm.scratch import ship_package, written
+from unitlens.llm.text import MULTIPLIER, mix
 from unitlens.llm.token_output import Tokenizer, best_fit, pack
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -157,8 +160,9 @@ def test_token_rows_round_trip(spark, empty):
     assert pack(empty, tokenizer).count() == 0
 
 
-def spark_hash(text, seed=42):
-    return xxhash.xxh64_intdigest(text.encode(), seed=seed)
+def plain_simhash(codes):
+    hashes = [int(mix(np.array([c + 1], np.uint64) * MULTIPLIER)[0]) for c in codes]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
 def plain_lines(rows, least=0.8):
@@ -169,15 +173,17 @@ def plain_lines(rows, least=0.8):
             if norm(line):
                 first.setdefault(norm(line), (i, at))
     for x in first:
-        hashes = [spark_hash(w) for w in x.split(" ")]
-        sims[x] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        raw = x.encode()
+        pairs = [(k, raw[k] * 256 + raw[k + 1]) for k in range(len(raw) - 1)]
+        sims[x] = [plain_simhash([c for k, c in pairs if part(k < len(raw) // 2)]) for part in (bool, lambda h: not h, lambda h: True)]
     names = list(first)
     number = {x: k for k, x in enumerate(sorted(names, key=first.get))}
     links = []
     for a in range(len(names)):
         for b in range(a):
             x, y = names[a], names[b]
-            if (sims[x] ^ sims[y]).bit_count() <= RADIUS and edits(x, y) <= (1 - least) * max(len(x), len(y)) + 1e-9:
+            close = any((p ^ q).bit_count() <= RADIUS for p, q in zip(sims[x], sims[y]))
+            if close and min(len(x), len(y)) >= 5 and edits(x, y) <= (1 - least) * max(len(x), len(y)) + 1e-9:
                 links.append((number[x], number[y]))
     group = brute.classes(links, number.values())
     keep = {k: x for x, k in number.items()}
@@ -212,11 +218,64 @@ def test_lines(spark, empty):
     kept = {r.doc_id: r.text for r in without_lines(docs, found).collect()}
     assert kept[53] == "Ä ö\n" + "lone " * 3000
     assert len(kept) == len(table) and without_lines(docs, found).columns == docs.columns
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
     assert line_dedup(empty).count() == 0
 
 
+def test_lines_without_ids_and_repeated_rows(spark):
+    """Rows without id come last; a repeated row loses all lines; a block of two lines takes the second turn."""
+    line = " ".join(f"word{k}" for k in range(30))
+    near = line.replace("word7", "wort7")
+    table = [(None, f"{near}\nonly here"), (3, f"{line}\n{line}\nlast"), (3, f"{line}\n{line}\nlast"), (2, near.upper()), (9, "ab\nab cd")]
+    docs = written(spark.createDataFrame(table, "doc_id long, text string").coalesce(1))
+    got = sorted(((r.doc_id, r.n_lines, r.removed) for r in line_dedup(docs).collect()), key=str)
+    assert got == sorted([(None, 2, [0]), (3, 3, [0, 1]), (3, 3, [0, 1, 2]), (2, 1, []), (9, 2, [])], key=str)
+
+
+def test_dense_units_are_compared_in_blocks(spark, monkeypatch):
+    """Chains of near lines, more than a block of them in one unit, come out as the plain version has them."""
+    rng = random.Random(6)
+    start = [rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(24)]
+    table = []
+    for k in range(90):
+        if k % 30 == 0:
+            words = list(start)
+        words[rng.randrange(len(words))] = rng.choice("abcdefgh") * rng.randint(1, 4)
+        table.append((k, " ".join(words)))
+    monkeypatch.setattr(line_module, "BLOCK", 8)
+    monkeypatch.setattr(simhash_module, "BLOCK", 8)
+    monkeypatch.setattr(line_module, "masks", lambda n, radius: [0])
+    docs = written(spark.createDataFrame(table, "doc_id long, text string").repartition(3))
+    assert {r.doc_id: (r.n_lines, r.removed) for r in line_dedup(docs).collect()} == plain_lines(table)
+
+
+def test_recall_of_near_lines(spark):
+    """Lines of five words and more of scale 0.01 that share three words in a row, by edit similarity alone."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").where("length(text) < 20000")
+    lines = sorted({n for r in docs.collect() for x in r.text.split("\n") if len((n := re.sub(r"[\W_]+", " ", x.lower()).strip()).split()) >= 5 and len(n) < 1000})
+    at = defaultdict(set)
+    for k, x in enumerate(lines):
+        w = x.split()
+        for i in range(len(w) - 2):
+            at[tuple(w[i : i + 3])].add(k)
+    pairs = {(a, b) for v in at.values() if len(v) < 100 for a in v for b in v if a < b}
+    short = lambda a, b: min(len(a), len(b)) >= 0.8 * max(len(a), len(b))
+    near = [(a, b) for a, b in pairs if short(lines[a], lines[b]) and line_edits(lines[a], lines[b], m := max(len(lines[a]), len(lines[b])) // 5) <= m]
+    ship_package(spark)
+    texts = spark.createDataFrame(list(enumerate(lines)), "line long, text string").repartition(8)
+    texts = written(texts.mapInArrow(line_module.printed, "line long, text string, print0 long, print1 long, print2 long"))
+    of = {r.node: r.component for r in line_module.line_groups(texts, 0.8).collect()}
+    found = [of.get(a, a) == of.get(b, b) for a, b in near]
+    assert len(near) > 200 and sum(found) / len(found) >= 0.9
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab c", max_size=40), st.text("ab c", max_size=40), st.integers(0, 12))
+def test_bounded_edits(x, y, most):
+    exact = edits(x, y)
+    assert line_edits(x, y, 99) == exact
+    assert (line_edits(x, y, most) <= most) == (exact <= most)
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     codes, counts = np.unique(rng.integers(0, 1 << 24, 3000).astype(np.int32) & 0x0C30C3, return_counts=True)

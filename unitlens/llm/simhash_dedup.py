@@ -80,34 +80,24 @@ class Groups:
                 self.of = self.of[self.of]
 
 
-def trie_links(unit: np.ndarray, prints: np.ndarray, named: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a forest over the classes ``named``: two classes are connected if and only if fingerprints
-    of theirs within the radius, in the same unit, connect them.
+def trie_pairs(prints: np.ndarray, cuts: np.ndarray, radius: int, inside=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of ``prints`` within the radius, in batches, each pair once. ``cuts`` are the places where units
+    begin, and the end; a unit's fingerprints ascend, and pairs lie in one unit.
 
-    Sorted fingerprints are the leaves of a binary trie, and a node is a range of them. A pair of nodes of
+    Fingerprints of a unit are the leaves of a binary trie, and a node is a range of them. A pair of nodes of
     one depth carries the bits in which their prefixes differ; its children are the pairs of their children,
-    and a pair beyond the radius goes. Pairs inside one class go as well, so dense groups are not expanded.
+    and a pair beyond the radius goes, as does one that ``inside`` (lo, hi, lo2, hi2) says is of no interest.
     """
-    order = np.lexsort((prints, unit))
-    unit, prints = unit[order], prints[order]
-    names, own = np.unique(named[order], return_inverse=True)
-    groups = Groups(len(names))
-    n = len(prints)
-    cuts = np.concatenate([[0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [n]])
-    roots = (cuts[:-1], cuts[1:], cuts[:-1], cuts[1:], np.zeros(len(cuts) - 1, np.int64))
+    stack = [(63, np.stack([cuts[:-1], cuts[1:], cuts[:-1], cuts[1:], np.zeros(len(cuts) - 1, np.int64)]))]
     ones: dict[int, np.ndarray] = {}
-    label = groups.of[own]
-    run = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
-    stack = [(63, np.stack(roots))]
     while stack:
         bit, pairs = stack.pop()
         if pairs.shape[1] > WALKED:
             half = pairs.shape[1] // 2
             stack += [(bit, pairs[:, half:]), (bit, pairs[:, :half])]
             continue
-        lo, hi, lo2, hi2, _ = pairs
-        one_class = (run[lo] == run[hi - 1]) & (run[lo2] == run[hi2 - 1]) & (label[lo] == label[lo2])
-        pairs = pairs[:, ~one_class]
+        if inside is not None:
+            pairs = pairs[:, ~inside(*pairs[:4])]
         lo, hi, lo2, hi2, _ = pairs
         direct = ((hi - lo) * (hi2 - lo2) <= DIRECT) | (bit < 0)
         if direct.any():
@@ -117,13 +107,8 @@ def trie_links(unit: np.ndarray, prints: np.ndarray, named: np.ndarray, radius:
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             wide = np.repeat(wide, size)
             i, j = np.repeat(lo, size) + at // wide, np.repeat(lo2, size) + at % wide
-            near = (i < j) & (label[i] != label[j])
-            i, j = i[near], j[near]
-            near = np.bitwise_count(prints[i] ^ prints[j]) <= radius
-            if near.any():
-                groups.merge(own[i[near]], own[j[near]])
-                label = groups.of[own]
-                run = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+            near = (i < j) & (np.bitwise_count(prints[i] ^ prints[j]) <= radius)
+            yield i[near], j[near]
             pairs = pairs[:, ~direct]
         if not pairs.shape[1]:
             continue
@@ -144,6 +129,34 @@ def trie_links(unit: np.ndarray, prints: np.ndarray, named: np.ndarray, radius:
         children = children[:, (children[0] < children[1]) & (children[2] < children[3]) & (children[4] <= radius)]
         if children.shape[1]:
             stack.append((bit - 1, children))
+
+
+def by_unit(unit: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by unit, then fingerprint, and where units begin in it, and the end."""
+    order = np.lexsort((prints, unit))
+    unit = unit[order]
+    return order, np.concatenate([[0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(unit)]])
+
+
+def trie_links(unit: np.ndarray, prints: np.ndarray, named: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a forest over the classes ``named``: two classes are connected if and only if fingerprints
+    of theirs within the radius, in the same unit, connect them. Node pairs inside one class are not walked, so
+    dense groups are not expanded."""
+    order, cuts = by_unit(unit, prints)
+    names, own = np.unique(named[order], return_inverse=True)
+    groups = Groups(len(names))
+    label = groups.of[own]
+    run = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+
+    def one_class(lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) -> np.ndarray:
+        return (run[lo] == run[hi - 1]) & (run[lo2] == run[hi2 - 1]) & (label[lo] == label[lo2])
+
+    for i, j in trie_pairs(prints[order], cuts, radius, one_class):
+        near = label[i] != label[j]
+        if near.any():
+            groups.merge(own[i[near]], own[j[near]])
+            label = groups.of[own]
+            run = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
     moved = np.flatnonzero(groups.of != np.arange(len(names)))
     return names[moved], names[groups.of[moved]]
 
@@ -189,6 +202,28 @@ def compare(rows: DataFrame, radius: int) -> DataFrame:
     return dealt.groupBy("deal").applyInArrow(linked_group(radius), "a long, b long")
 
 
+def split_units(large: DataFrame, dealt: str) -> DataFrame:
+    """Rows of units of any size copied to the pairs of blocks in which they meet rows of another ``class``: those
+    outside of the unit's largest class, in blocks of BLOCK rows by the hash of ``dealt``, with each other and
+    with the blocks of that class. Units of one class need no comparison and go."""
+    per_class = large.groupBy("unit", "class").agg(F.count("*").alias("n"))
+    split = per_class.groupBy("unit").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("many")).where("many > top.n")
+    split = split.select(
+        "unit", F.col("top.class").alias("main"), F.ceil(F.col("top.n") / BLOCK).alias("ins"), F.ceil((F.col("many") - F.col("top.n")) / BLOCK).alias("outs")
+    )
+    sides = large.join(split, "unit").withColumn("inside", F.col("class") == F.col("main"))
+    block = F.pmod(F.xxhash64(dealt), F.when(F.col("inside"), F.col("ins")).otherwise(F.col("outs")))
+    sides = sides.withColumn("block", block)
+    ins, outs = F.sequence(F.lit(0), F.col("ins") - 1), F.sequence(F.lit(0), F.col("outs") - 1)
+    met = F.when(F.col("inside"), F.transform(outs, lambda o: F.struct(F.lit(0).alias("kind"), F.col("block").alias("x"), o.alias("y")))).otherwise(
+        F.concat(
+            F.transform(ins, lambda i: F.struct(F.lit(0).alias("kind"), i.alias("x"), F.col("block").alias("y"))),
+            F.transform(outs, lambda o: F.struct(F.lit(1).alias("kind"), F.least(o, "block").alias("x"), F.greatest(o, "block").alias("y"))),
+        )
+    )
+    return sides.withColumn("met", F.explode(met)).withColumn("unit", F.xxhash64("unit", "met"))
+
+
 def hamming_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(print, class) for the distinct fingerprints of the only column, ``print``; class is the smallest one that
     links reach.
@@ -214,22 +249,7 @@ def hamming_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     links = written(links.union(by_trie.select("unit", "print", "class").mapInArrow(linked(radius), "a long, b long")), 8)
     reached = components(links).select(F.col("node").alias("print"), F.col("component").alias("now"))
     large = written(large.drop("class").join(reached, "print", "left").withColumn("class", F.coalesce("now", "print")).drop("now"))
-    per_class = large.groupBy("unit", "class").agg(F.count("*").alias("n"))
-    split = per_class.groupBy("unit").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("many")).where("many > top.n")
-    split = split.select(
-        "unit", F.col("top.class").alias("main"), F.ceil(F.col("top.n") / BLOCK).alias("ins"), F.ceil((F.col("many") - F.col("top.n")) / BLOCK).alias("outs")
-    )
-    sides = large.join(split, "unit").withColumn("inside", F.col("class") == F.col("main"))
-    block = F.pmod(F.xxhash64("print"), F.when(F.col("inside"), F.col("ins")).otherwise(F.col("outs")))
-    sides = sides.withColumn("block", block)
-    ins, outs = F.sequence(F.lit(0), F.col("ins") - 1), F.sequence(F.lit(0), F.col("outs") - 1)
-    met = F.when(F.col("inside"), F.transform(outs, lambda o: F.struct(F.lit(0).alias("kind"), F.col("block").alias("x"), o.alias("y")))).otherwise(
-        F.concat(
-            F.transform(ins, lambda i: F.struct(F.lit(0).alias("kind"), i.alias("x"), F.col("block").alias("y"))),
-            F.transform(outs, lambda o: F.struct(F.lit(1).alias("kind"), F.least(o, "block").alias("x"), F.greatest(o, "block").alias("y"))),
-        )
-    )
-    units = sides.withColumn("met", F.explode(met)).select(F.xxhash64("unit", "met").alias("unit"), "print", "class")
+    units = split_units(large, "print").select("unit", "print", "class")
     links = written(links.union(compare(written(units), radius)), 8)
     return components(links).select(F.col("node").alias("print"), F.col("component").alias("class"))
 
