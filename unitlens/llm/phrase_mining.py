@@ -111,12 +111,26 @@ def later(values: np.ndarray, k: int) -> np.ndarray:
 
 
 def runs(grams: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by gram, then cell, and where a run of equal pairs begins in it."""
+    """An order in which equal pairs of gram and cell lie together, cells of a gram as well, and grams ascend by
+    their upper halves; and where each run of equal pairs begins."""
+    low = np.uint64((1 << 12) - 1)
+    if len(cells) and cells.max() <= low:
+        # One sort where no two grams differ in their last bits only, which are lent to the cells.
+        keys = (grams & ~low) | cells.astype(np.uint64)
+        order = np.argsort(keys)
+        keys, sorted_grams = keys[order], grams[order]
+        if not ((keys[1:] ^ keys[:-1] <= low) & (sorted_grams[1:] != sorted_grams[:-1])).any():
+            return order, np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     order = np.lexsort((cells, grams))
     grams, cells = grams[order], cells[order]
     return order, np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (cells[1:] != cells[:-1])])[: len(order)])
 
 
+def group_of(grams: np.ndarray, groups: int) -> np.ndarray:
+    """The merging group of each gram: equal ranges of the upper halves."""
+    return ((grams >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+
+
 def parted(grams: np.ndarray, cells: np.ndarray, names: list[str], groups: int) -> Iterator[pa.RecordBatch]:
     """Counts of equal phrases as one row per merging group, packed."""
     cells = cells.astype(np.min_scalar_type(len(names)))
@@ -124,7 +138,7 @@ def parted(grams: np.ndarray, cells: np.ndarray, names: list[str], groups: int)
     n = np.diff(np.append(first, len(order))).astype(np.uint32)
     grams, cells = grams[order[first]], cells[order[first]]
     # The order is that of the grams, so the groups, ranges of them, lie one after another.
-    group = ((grams >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+    group = group_of(grams, groups)
     cuts = np.searchsorted(group, np.arange(groups + 1, dtype=np.uint64))
     full = np.flatnonzero(np.diff(cuts))
     ranges = [slice(cuts[g], cuts[g + 1]) for g in full]
@@ -209,13 +223,25 @@ def frequent_in_shard(support: int, all_counted: bool):
     return run
 
 
-def spelled(longest: int, candidates):
-    """(lang, words, phrase, n): occurrences of the phrases that pass ``candidates``, counted by their spelling; with
-    0 words, all words of the language."""
+SPELLED = "part int, lang array<string>, words array<int>, phrase array<string>, n array<long>"
+
+
+def summed(table: pa.Table, *by: str) -> pa.Table:
+    out = table.group_by(list(by)).aggregate([("n", "sum")])
+    return out.rename_columns([*by, "n"]).combine_chunks()
 
-    def summed(tables: list[pa.Table]) -> pa.Table:
-        table = pa.concat_tables(tables).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")])
-        return table.rename_columns(["lang", "words", "phrase", "n"])
+
+def spelled(longest: int, candidates, groups: int):
+    """Occurrences of the phrases that pass ``candidates``, counted by their spelling, as one row per merging group;
+    with 0 words, all words of the language."""
+
+    def packed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.sort_by("part").combine_chunks()
+        part = table["part"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
+        bounds = pa.array(np.append(first, len(part)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(bounds, table[c].combine_chunks()) for c in ("lang", "words", "phrase", "n")]
+        yield pa.RecordBatch.from_arrays([pa.array(part[first]), *lists], ["part", "lang", "words", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: list[pa.Table] = []
@@ -223,30 +249,52 @@ def spelled(longest: int, candidates):
             for a, b in chunks(batch.column(1)):
                 lang, text = (batch.column(k).slice(a, b - a) for k in range(2))
                 words = Words.of(lang, text)
-                row = pa.array(words.row)
-                per_lang = lang.take(row).value_counts()
-                langs, ns = per_lang.field(0), per_lang.field(1)
-                tables.append(pa.table({"lang": langs, "words": pa.array(np.zeros(len(langs), np.int32)), "phrase": pa.array([""] * len(langs), pa.string()), "n": ns}))
+
+                def table(part: np.ndarray, of: pa.Array, k: int, phrase: pa.Array, n) -> pa.Table:
+                    columns = [pa.array(part.astype(np.int32)), of, pa.array(np.full(len(part), k, np.int32)), phrase, pa.array(n, pa.int64())]
+                    return pa.table(columns, ["part", "lang", "words", "phrase", "n"])
+
+                per_lang = lang.take(pa.array(words.row)).value_counts()
+                langs = per_lang.field(0)
+                tables.append(table(np.zeros(len(langs)), langs, 0, pa.array([""] * len(langs), pa.string()), per_lang.field(1)))
                 spaced_data, starts, ends = spaced(words.data, words.starts, words.ends)
-                # Two hashes tell phrases apart within a chunk; beyond it only their spelling counts.
                 levels = zip(words.levels(longest), words.levels(longest, seed=2))
                 for k, ((grams, there), (others, _)) in enumerate(levels, 1):
                     at = np.flatnonzero(there & passes(candidates.value, grams))
-                    order, first = runs(grams[at], others[at])
+                    order = np.argsort(grams[at])
+                    own, other = grams[at[order]], others[at[order]]
+                    same = own[1:] == own[:-1]
+                    if (same & (other[1:] != other[:-1])).any():
+                        # Two phrases of one hash, told apart by the other one.
+                        order = np.lexsort((others[at], grams[at]))
+                        own, other = grams[at[order]], others[at[order]]
+                        same = (own[1:] == own[:-1]) & (other[1:] == other[:-1])
+                    first = np.flatnonzero(np.concatenate([[True], ~same])[: len(at)])
                     n, at = np.diff(np.append(first, len(order))), at[order[first]]
-                    data, begins, stops = spaced(spaced_data, starts[at], ends[at + k - 1])
+                    data, begins, _ = spaced(spaced_data, starts[at], ends[at + k - 1])
                     # The blank behind each phrase belongs to it here, and goes with the next step.
                     offsets = np.append(begins, len(data)).astype(np.int64)
                     phrases = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data))
                     phrases = pc.utf8_slice_codeunits(phrases, 0, -1).cast(pa.string())
-                    tables.append(pa.table({"lang": lang.take(pa.array(words.row[at])), "words": pa.array(np.full(len(at), k, np.int32)), "phrase": phrases, "n": pa.array(n)}))
+                    tables.append(table(group_of(grams[at], groups), lang.take(pa.array(words.row[at])), k, phrases, n))
                 if len(tables) >= TABLES * (longest + 1):
-                    tables = [summed(tables)]
+                    tables = [summed(pa.concat_tables(tables), "part", "lang", "words", "phrase")]
                     if tables[0].num_rows > GATHERED:
-                        yield from tables[0].combine_chunks().to_batches()
+                        yield from packed(tables[0])
                         tables = []
         if tables:
-            yield from summed(tables).combine_chunks().to_batches()
+            yield from packed(summed(pa.concat_tables(tables), "part", "lang", "words", "phrase"))
+
+    return run
+
+
+def frequent_spellings(support: int):
+    """Sums of one group's spelled counts that reach the support; words of a language always do."""
+
+    def run(table: pa.Table) -> pa.Table:
+        flat = pa.table({c: pa.concat_arrays([x.flatten() for x in table[c].chunks]) for c in ("lang", "words", "phrase", "n")})
+        found = summed(flat, "lang", "words", "phrase")
+        return found.filter(pc.or_(pc.equal(found["words"], 0), pc.greater_equal(found["n"], support)))
 
     return run
 
@@ -288,9 +336,9 @@ def frequent_phrases(docs: DataFrame, rule: Mining = Mining(), lang: str = "lang
     for more in kept[1:]:
         union = union.union(more)
     candidates = context.broadcast(bit_filter(union))
-    occurrences = base.select("lang", "text").mapInArrow(spelled(rule.longest, candidates), "lang string, words int, phrase string, n long")
-    counts = occurrences.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    counts = written(counts.where((F.col("words") == 0) | (F.col("n") >= rule.support)), 4)
+    occurrences = base.select("lang", "text").mapInArrow(spelled(rule.longest, candidates, groups), SPELLED)
+    merged = occurrences.groupBy("part").applyInArrow(frequent_spellings(rule.support), "lang string, words int, phrase string, n long")
+    counts = written(merged, 4)
     return counts.where("words > 0"), counts.where("words = 0").select("lang", "n")
 
 
