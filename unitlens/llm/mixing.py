@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from unitlens.llm.scratch import written
@@ -115,6 +115,26 @@ def schema_of(df: DataFrame, *more: str) -> str:
     return ", ".join([f"`{c}` {t}" for c, t in df.dtypes] + list(more))
 
 
+def numbered_repeats(sized: DataFrame) -> DataFrame:
+    """``sized`` with ``repeat``, which counts the rows of one doc_id and size from 0.
+
+    Rows are sorted and numbered in their tasks, and a task's numbers go on from those of the tasks before it; of
+    a group only its counts per task meet.
+    """
+    placed = sized.sortWithinPartitions("doc_id", "size").withColumn("at", F.monotonically_increasing_id())
+    placed = written(placed.withColumn("task", F.shiftright("at", 33)))
+    runs = placed.groupBy("doc_id", "size", "task").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    same = Window.partitionBy("doc_id", "size")
+    before = same.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumns({"all": F.sum("n").over(same), "before": F.coalesce(F.sum("n").over(before), F.lit(0))})
+    shifts = runs.where(F.col("all") > 1).select(
+        F.col("doc_id").alias("of_id"), F.col("size").alias("of_size"), F.col("task").alias("of_task"), (F.col("before") - F.col("first")).alias("shift")
+    )
+    this = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("size") == F.col("of_size")) & (F.col("task") == F.col("of_task"))
+    joined = placed.join(shifts, this, "left")
+    return joined.withColumn("repeat", F.coalesce(F.col("at") + F.col("shift"), F.lit(0))).select(*sized.columns, "repeat")
+
+
 def mix_sources(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -130,17 +150,18 @@ def mix_sources(
     Each row of a source gets target / source_size copies in expectation: the whole part for certain,
     the rest by dependent rounding, so a source's taken words miss its target by less than one
     document. Rounds work on hashed leaves of about LEAF documents, then on their residuals, FAN at a
-    time; a source of any size is many leaves. Draws depend on doc_id and size only, so reruns agree.
+    time; a source of any size is many leaves. Draws depend on doc_id and size only, and among rows that agree
+    in both on their number, so reruns agree and many such rows are many leaves too.
     A text that is null or empty has size 0; null is a source of its own; rows that repeat are rounded
     one by one; rows without doc_id likewise; an empty table gives no rows; other columns are ignored.
     """
     sized = docs.select(
         F.col(doc_id).alias("doc_id"), *carry, F.col(source).alias("source"), words(F.col(text)).alias("size")
     )
-    sized = written(sized)
+    sized = written(numbered_repeats(sized))
     targets = source_targets(sized, share, weights, cap)
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    key = F.xxhash64("doc_id", "size")
+    key = F.xxhash64("doc_id", "size", "repeat")
     leaves = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / LEAF))
     units = sized.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(
         "doc_id",
