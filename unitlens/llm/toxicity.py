@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from unitlens.llm.language_id import held_out
 from unitlens.llm.text import STOP_WORDS, chunks, span_hashes, utf8, word_spans
 
-#: Labelled documents of each class in the sample; a quarter of them calibrates the thresholds.
+#: Labelled documents of each class that the network learns from, at most. Thresholds come from all documents of
+#: the quarter of the labelled ones that it doesn't learn from.
 SAMPLE = 4000
+#: Steps of the logit in the counts that thresholds are found in, and its bounds.
+STEP, OUTERMOST = 0.02, 12.0
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 #: A word's embedding is the sum of its own and those of its first bytes, so inflected words are near.
 HEADS = (4, 6)
@@ -68,17 +71,19 @@ def stop_words() -> tuple[list[str], np.ndarray]:
 
 
 def guessed(ids: np.ndarray, first: np.ndarray, table: np.ndarray, languages: int) -> np.ndarray:
-    """The language with most function words in each row; the first one for none."""
+    """The language with most function words in each row; -1 for none."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     kind = table[ids[:, 0]]
     known = kind >= 0
     hits = np.bincount(row[known] * languages + kind[known], minlength=(len(first) - 1) * languages)
-    return hits.reshape(-1, languages).argmax(1)
+    hits = hits.reshape(-1, languages)
+    return np.where(hits.max(1) > 0, hits.argmax(1), -1)
 
 
 @dataclass
 class Network:
-    """Embeddings, one filter bank per width, a linear layer over the largest response of each filter."""
+    """Embeddings, one filter bank per width, a linear layer over the largest response of each filter; a threshold
+    per language, and as the last one that of texts without a known function word."""
 
     embedding: np.ndarray
     filters: list[np.ndarray]
@@ -186,60 +191,85 @@ def train(texts: pa.Array, label: np.ndarray, rng: np.random.Generator) -> Netwo
     return net
 
 
-def threshold(p: np.ndarray, label: np.ndarray) -> float:
-    """Middle of the gap at which precision and recall balance best, drawn to 0.5 as if by PRIOR more texts."""
-    if label.min(initial=1) == label.max(initial=0):
+def threshold(p: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float:
+    """Middle of the gap at which precision and recall balance best, drawn to 0.5 as if by PRIOR more texts.
+    ``p`` are different probabilities, with the clean and toxic texts that have each."""
+    if not clean.sum() or not toxic.sum():
         return 0.5
     by = np.argsort(-p, kind="stable")
-    right = np.cumsum(label[by])
-    f1 = 2 * right / (np.arange(1, len(by) + 1) + label.sum())
+    p, clean, toxic = p[by], clean[by], toxic[by]
+    right = np.cumsum(toxic)
+    f1 = 2 * right / (np.cumsum(clean + toxic) + right[-1])
     k = int(f1.argmax())
-    below = p[by][k + 1] if k + 1 < len(by) else 0.0
-    edge = np.clip([p[by][k], below], 1e-3, 1 - 1e-3)
-    middle = np.log(edge / (1 - edge)).mean() * label.sum() / (label.sum() + PRIOR)
+    below = p[k + 1] if k + 1 < len(p) else 0.0
+    edge = np.clip([p[k], below], 1e-3, 1 - 1e-3)
+    middle = np.log(edge / (1 - edge)).mean() * right[-1] / (right[-1] + PRIOR)
     return float(1 / (1 + np.exp(-middle)))
 
 
-def calibrate(net: Network, texts: pa.Array, label: np.ndarray) -> None:
-    """A threshold for each guessed language; one with fewer than 20 texts of a class shares the common one."""
-    languages, table = stop_words()
-    ids, first = word_ids(texts)
-    p = 1 / (1 + np.exp(-net.logits(ids, first).astype(np.float64)))
-    language = guessed(ids, first, table, len(languages))
-    common = threshold(p, label)
-    net.cuts = np.full(len(languages), common)
-    for k in range(len(languages)):
-        own = language == k
-        if min((label[own] == 1).sum(), (label[own] == 0).sum()) >= 20:
-            net.cuts[k] = threshold(p[own], label[own])
+def binned_logit(net: Network):
+    """A vectorised function from texts to the guessed language and the logit in steps."""
+
+    @F.pandas_udf("struct<language: int, step: int>")
+    def binned(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        languages, table = stop_words()
+        for series in texts:
+            column = pa.Array.from_pandas(series, type=pa.large_string())
+            out = [np.zeros((0, 2), np.int64)]
+            for a, b in chunks(column, 1 << 18):
+                ids, first = word_ids(column[a:b])
+                logit = np.clip(net.logits(ids, first).astype(np.float64), -OUTERMOST, OUTERMOST)
+                out.append(np.stack([guessed(ids, first, table, len(languages)), np.floor(logit / STEP).astype(np.int64)], 1))
+            yield pd.DataFrame(np.concatenate(out).astype(np.int32), columns=["language", "step"])
+
+    return binned
+
+
+def calibrate(net: Network, rows: DataFrame) -> None:
+    """Thresholds from all ``rows`` (text, toxic): one for each guessed language; one with fewer than 20 texts of a
+    class shares the common one. What reaches the driver are counts by language and step of the logit."""
+    steps = rows.select(binned_logit(net)(F.col("text")).alias("b"), "toxic")
+    counts = steps.groupBy("b.language", "b.step").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("bad"))
+    found = counts.toPandas()  # at most 5 * 2 * OUTERMOST / STEP rows
+    languages = len(stop_words()[0])
+
+    def cut(own: pd.DataFrame) -> float:
+        own = own.groupby("step", as_index=False)[["clean", "bad"]].sum()
+        p = 1 / (1 + np.exp(-(own["step"].to_numpy() + 0.5) * STEP))
+        return threshold(p, own["clean"].to_numpy(np.float64), own["bad"].to_numpy(np.float64))
+
+    net.cuts = np.full(languages + 1, cut(found))
+    for k in range(languages):
+        own = found[found["language"] == k]
+        if min(own["clean"].sum(), own["bad"].sum()) >= 20:
+            net.cuts[k] = cut(own)
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[pa.Array, np.ndarray]:
-    """At most ``sample`` labelled texts of each class, the same at every run."""
+    """At most ``sample`` labelled texts of each class, the same at every run; one text of an id that repeats."""
     order = F.xxhash64(F.lit(SEED), "doc_id")
     chosen = None
     for value in (0, 1):
         own = labels.where(F.col("toxic") == value).orderBy(order, "doc_id").limit(sample)
         chosen = own if chosen is None else chosen.unionByName(own)
     # The ids are bounded by the sample, so they may be broadcast.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow()
+    rows = rows.sort_by([("doc_id", "ascending")])
     return rows["text"].combine_chunks(), rows["toxic"].to_numpy().astype(np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """Fit on three quarters of a bounded sample of the labelled rows (doc_id, text), (doc_id, toxic); calibrate on the rest."""
-    texts, label = sampled(docs, labels, sample)
+    """Learn from a bounded sample of three quarters of the labelled documents (doc_id, text), (doc_id, toxic), one
+    label each; calibrate on all of the fourth quarter, so thresholds see the classes as they come at any size."""
+    rest = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(4)) == 0
+    texts, label = sampled(docs, labels.where(~rest), sample)
     rng = np.random.default_rng(SEED)
-    order = rng.permutation(len(label))
-    rest = order[::4]
-    half = np.setdiff1d(order, rest)
-    net = train(texts.take(pa.array(half)), label[half], rng) if len(half) else Network.fresh(rng)
-    if len(half) == 0 or len(rest) == 0:
+    net = train(texts, label, rng) if len(label) else Network.fresh(rng)
+    if len(label) == 0:
         net.weights[:] = 0.0
-        net.cuts = np.full(len(STOP_WORDS), 0.9)
+        net.cuts = np.full(len(STOP_WORDS) + 1, 0.9)
         return net
-    calibrate(net, texts.take(pa.array(rest)), label[rest])
+    calibrate(net, docs.join(labels.where(rest), "doc_id").select("text", "toxic"))
     return net
 
 
@@ -263,14 +293,16 @@ def toxicity(
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted (1 from a score of CUT on).
 
-    Learns from at most ``sample`` labelled rows of each class that are not held out (null labels
-    and labels without document are ignored); language, source and id are never seen by the network.
-    Without any labelled row every text scores the same, below CUT. A null or empty text is scored as one without
+    Learns from at most ``sample`` labelled documents of each class that are not held out (null labels
+    and labels without document are ignored; one label of 1 makes a document toxic, whatever its others);
+    language, source and id are never seen by the network. Thresholds are set by language, guessed from function
+    words; a text without any has the common one. Without any labelled row every text scores the same, below CUT. A null or empty text is scored as one without
     words. Repeated rows score alike; rows without doc_id are scored; an empty table gives no rows.
     The network (some 2 MB) travels with the tasks; scoring is one scan.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
-    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).alias("toxic")).dropna().distinct()
+    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).alias("toxic")).dropna()
+    known = known.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     learned = base.where(~F.col("held_out")).select("doc_id", "text")
     net = fit(learned, known.where(~held_out(F.col("doc_id"))), sample)
     scored = base.select("doc_id", "held_out", score_column(net)(F.col("text")).alias("score"))
