@@ -150,7 +150,8 @@ JOIN tops ON placed.source IS NOT DISTINCT FROM tops.source, (SELECT nodes[1] AS
 PHRASES = rf"""WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
   FROM documents
 ),
 split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM pieces),
@@ -179,10 +180,34 @@ weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
 
+BYTES = """WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT r, i, md5(substring(h, 2 * i + 1, 400)) AS g
+  FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM docs WHERE len(h) >= 400)
+),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY g) > 1),
+marked AS (
+  SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM again
+),
+spans AS (
+  SELECT r, min(i) AS a, max(i) + 200 AS b
+  FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM marked) GROUP BY r, k
+),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans),
+cut AS (
+  SELECT docs.r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+         string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substring(any_value(h), 2 * max(b) + 1) AS rest
+  FROM docs JOIN gaps ON gaps.r = docs.r GROUP BY docs.r
+)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (r)"""
+
 ORACLE = {
     "op1_quality_rules": QUALITY,
     "op11_merkle_manifest": MERKLE,
     "op12_phrase_mining": PHRASES,
     "op4_ngram_jaccard_join": JACCARD,
+    "op7_suffix_dedup": BYTES,
     "op8_substring_dedup": SUBSTRINGS,
 }
