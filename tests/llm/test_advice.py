@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from unitlens.llm import language_id
 from unitlens.llm.decontamination import contaminated
-from unitlens.llm.line_dedup import RADIUS, half_simhashes
+from unitlens.llm.line_dedup import RADIUS, Lines
 from unitlens.llm.ngram_join import ngram_join
 from unitlens.llm.scratch import ship_package, written
 
@@ -107,5 +107,6 @@ def test_long_lines_that_differ_in_a_word():
     rng = random.Random(4)
     long = [rng.choice("abcdefghijklmnop") for _ in range(33_000)]
     other = [*long[:500], "z", *long[501:]]
-    prints = half_simhashes(pa.array([" ".join(long), " ".join(other)]))
-    assert np.bitwise_count(prints[0] ^ prints[1]).max() <= RADIUS
+    prints, keys, of = Lines(pa.array([" ".join(long), " ".join(other)])).prints_and_parts()
+    assert np.bitwise_count(prints[0] ^ prints[1]) <= RADIUS
+    assert set(keys[of == 0]) & set(keys[of == 1])
