@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType, IntegralType, LongType
 
-#: Decimal digits that one level settles: at most 10,000 bands of either sign.
-DIGITS = 4
+#: Decimal digits that one level settles: at most a million bands of either sign. Amounts of twelve digits take two levels.
+DIGITS = 6
 SMALLEST_NORMAL = -1022
 #: Digits that any BIGINT code has room for, together with the band that it is in.
 LONG_DIGITS = 18

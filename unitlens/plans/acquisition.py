@@ -72,15 +72,12 @@ def stored_ads(state: DataFrame) -> DataFrame:
 
 
 def incremental_ads(ads: DataFrame) -> DataFrame:
-    """``deduplicated_ads`` from three batches of loads, the earliest of which comes last and then once more."""
+    """``deduplicated_ads`` from two batches of loads, of which the later one holds the earlier snapshots."""
     spark = ads.sparkSession
     path = work_folder(spark, "ad-snapshots")
-    loaded = F.substring("timestamp", 12, 2)
-    batches = {"evening": loaded >= "16", "day": loaded.between("08", "15"), "night": loaded < "08"}
-    rest = ~F.coalesce(loaded.between("00", "99"), F.lit(False))
-    for batch in (*batches, "night"):
-        taken = F.coalesce(batches[batch], F.lit(False))
-        merge_ad_loads(ads.where(taken | rest if batch == "night" else taken), path, batch, "yyyy-MM")
+    second_half = F.coalesce(F.substring("timestamp", 12, 2).between("12", "24"), F.lit(False))
+    merge_ad_loads(ads.where(second_half), path, "second", "yyyy-MM")
+    merge_ad_loads(ads.where(~second_half), path, "first", "yyyy-MM")
     return stored_ads(read_mart(spark, path))
 
 
