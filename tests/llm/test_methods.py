@@ -14,26 +14,6 @@ from unitlens.llm.mixing import mix_sources, numbered_repeats
 from unitlens.llm.scratch import shared_folder, ship_package, written
 
 
-def shared(values, i, j, most):
-    n = 0
-    while n < most and max(i, j) + n < len(values) and values[i + n] == values[j + n]:
-        n += 1
-    return n
-
-
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(0, 2), min_size=2, max_size=60), st.integers(1, 13), st.sampled_from([1, 2, 32]))
-def test_longest_previous_factors(values, width, turns):
-    usual, suffix_dedup.TURNS = suffix_dedup.TURNS, turns
-    try:
-        before, after = suffix_dedup.longest_previous(suffix_dedup.suffix_ranks(np.array(values), width))
-    finally:
-        suffix_dedup.TURNS = usual
-    n = len(values)
-    assert before.tolist() == [max((shared(values, i, j, width) for j in range(i)), default=0) for i in range(n)]
-    assert after.tolist() == [max((shared(values, i, j, width) for j in range(i + 1, n)), default=0) for i in range(n)]
-
-
 def test_later_copies_go_and_the_first_stays(spark):
     """One document's repeats, copies with another end, and a long run of one byte."""
     ship_package(spark)
