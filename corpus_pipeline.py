@@ -13,6 +13,7 @@ from unitlens.llm.decontamination import contaminated
 from unitlens.llm.language_id import learn
 from unitlens.llm.mixing import mix_sources
 from unitlens.llm.ngram_join import Jaccard, ngram_join
+from unitlens.llm.repeats import among, bit_filter
 from unitlens.llm.scratch import ship_package, written
 from unitlens.llm.token_output import Tokenizer, pack
 
@@ -36,11 +37,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (NEAR): the one with the smallest id."""
+    """One document of each group of near copies (NEAR): the one with the smallest id.
+
+    Only rows that pass a bitmap of those to go are shuffled, to be told apart; the others stay where they are.
+    """
     ship_package(spark)
     rows, rid = numbered(docs)
-    kept = ngram_join(docs, rule=NEAR).where("first").select(F.col("rid").alias(rid))
-    return rows.join(kept, rid, "left_semi").select(*docs.columns)
+    gone = written(ngram_join(docs, rule=NEAR).where("NOT first").select(F.col("rid").alias(rid)), 8)
+    bits = spark.sparkContext.broadcast(bit_filter(gone.select(F.xxhash64(rid).alias("value"))))
+    maybe = among(bits)(F.xxhash64(rid))
+    kept = rows.where(~maybe).unionByName(rows.where(maybe).join(gone, rid, "left_anti"))
+    return kept.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

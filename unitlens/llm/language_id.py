@@ -26,6 +26,8 @@ MAX_LANGUAGES = 64
 #: is not in, times the slack.
 REJECT_QUANTILE, REJECT_SLACK = 0.999, 1.1
 UNDETERMINED = "und"
+#: Bytes of texts that are scored at once.
+CHUNK = 1 << 17
 
 
 @lru_cache(maxsize=1)
@@ -202,7 +204,7 @@ class Identifier:
 
     def predict(self, column: pa.Array) -> pd.DataFrame:
         """lang_pred, score, cross_entropy and rejected of every text."""
-        out = [self.chunk(column[a:b].to_pylist()) for a, b in chunks(column)]
+        out = [self.chunk(column[a:b].to_pylist()) for a, b in chunks(column, CHUNK)]
         return pd.concat(out) if out else self.chunk([])
 
     def chunk(self, texts: list[str | None]) -> pd.DataFrame:
