@@ -271,15 +271,24 @@ def other_half(models: list[Model | None]):
     return judge
 
 
+def strangeness_quantiles(train: DataFrame, without: list[Model | None]) -> DataFrame:
+    """(lang, q): REJECT_QUANTILE of the strangeness of a language's texts that are taken for it by the models without
+    their half; languages without such a text are left out.
+
+    The condition is inside the aggregate: as a filter it would be pushed below the models, which then
+    judge every text twice, in two Python workers a task.
+    """
+    crossed = train.select("lang", other_half(without)(F.col("text"), half_of(F.col("text"))).alias("p"))
+    right = F.when(F.col("lang") == F.col("p.lang"), F.col("p.strangeness"))
+    return crossed.groupBy("lang").agg(F.percentile_approx(right, REJECT_QUANTILE, 1000).alias("q")).where("q IS NOT NULL")
+
+
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Identifier:
     """The identifier that ``identify`` uses on the same documents."""
     base = labelled(docs, doc_id, text, lang)
     train = base.where("NOT held_out AND text IS NOT NULL AND lang IS NOT NULL")
     model, without = fit(train)
-    crossed = train.select("lang", other_half(without)(F.col("text"), half_of(F.col("text"))).alias("p"))
-    right = crossed.where(F.col("lang") == F.col("p.lang"))
-    quantile = F.percentile_approx("p.strangeness", REJECT_QUANTILE, 1000)
-    limits = right.groupBy("lang").agg(quantile.alias("q")).collect()  # at most MAX_LANGUAGES rows
+    limits = strangeness_quantiles(train, without).collect()  # at most MAX_LANGUAGES rows
     return Identifier(model, {row["lang"]: row["q"] * REJECT_SLACK for row in limits})
 
 
